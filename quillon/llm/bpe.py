@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import Out, rows, table
 
 #: Words whose ids a worker keeps, twice: those met since the last turn of generations, and those before. Texts encoded together, in characters.
-CACHE_WORDS, CHUNK_CHARS = 300_000, 4_000_000
+CACHE_WORDS, CHUNK_CHARS = 300_000, 6_000_000
 _WHITE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
@@ -73,7 +73,12 @@ class Vocabulary:
         """The pieces of a run without white space, normalised."""
         if not word.isascii():
             word = unicodedata.normalize("NFC", word).replace("Σ", "σ")  # each letter is lowered by itself
-        return self.pieces.findall(word.lower())
+        word = word.lower()
+        if word.isalpha():
+            return [word]
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            return [word[:-1], word[-1]]
+        return self.pieces.findall(word)
 
     def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, -1 for pairs that don't merge."""

@@ -40,10 +40,10 @@ MAX_LANGS = 64
 class Limits:
     """Limits of the two distances and lengths (in words) from which they are judged."""
 
-    chars: float = 0.32
-    words: float = 0.80
-    min_words: int = 20
-    min_common_words: int = 60
+    chars: float = 0.28
+    words: float = 0.335
+    min_words: int = 40
+    min_common_words: int = 150
 
 
 def _classes() -> np.ndarray:
