@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat, fingerprint, quality, urlfilter, warc
+from quillon.llm import bpe, chat, fingerprint, minhash, packing, quality, toxicity, urlfilter, warc
 from quillon.llm.common import python_path
 
-_QUERIES = [warc.op1_warc, chat.op2_chat_formatting, urlfilter.op5_url_filters, fingerprint.op6_document_fingerprints, quality.op7_quality_rules, bpe.op9_bpe_encode_decode]
+_QUERIES = [
+    warc.op1_warc,
+    chat.op2_chat_formatting,
+    toxicity.op3_toxicity,
+    urlfilter.op5_url_filters,
+    fingerprint.op6_document_fingerprints,
+    quality.op7_quality_rules,
+    packing.op8_packing,
+    bpe.op9_bpe_encode_decode,
+    minhash.op10_minhash,
+]
 
 
 def _ready(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.OP1_SQL, "op2_chat_formatting": chat.OP2_SQL, "op5_url_filters": urlfilter.OP5_SQL}
+    return {"op1_warc": warc.OP1_SQL, "op2_chat_formatting": chat.OP2_SQL, "op5_url_filters": urlfilter.OP5_SQL, "op10_minhash": minhash.OP10_SQL}
