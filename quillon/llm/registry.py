@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, chat, fingerprint, minhash, packing, quality, toxicity, urlfilter, warc
+from quillon.llm import bpe, chat, fingerprint, minhash, packing, quality, suffix, toxicity, urlfilter, warc
 from quillon.llm.common import python_path
 
 _QUERIES = [
     warc.op1_warc,
     chat.op2_chat_formatting,
     toxicity.op3_toxicity,
+    suffix.op4_suffix_array,
     urlfilter.op5_url_filters,
     fingerprint.op6_document_fingerprints,
     quality.op7_quality_rules,
