@@ -5,12 +5,12 @@ fingerprint is the 128-bit xxh3 of the canonical UTF-8 bytes. Documents whose fi
 byte with their group's first document; one that differs (a hash collision) gets its fingerprint lengthened by the SHA-256
 of its bytes, so equal fingerprints mean equal canonical texts. Likeness is 1 for equal canonical bytes, else 0.
 
-The edited text needs each document's successor. Texts are shuffled once: dealt to ranges of doc_id, whose first document
+The edited text needs each document's successor. Texts are shuffled once, compressed: dealt to ranges of doc_id, whose first document
 goes to the range before it as well. Of the members of equal-fingerprint groups the canonical bytes, compressed, are
 carried on and joined with the group's first; a join that Spark can split for one huge group.
 
 Defined results: a null text is empty; the fingerprint of an empty text is that of no bytes; null doc_ids come first, equal
-doc_ids are ordered by text; the last document's successor is the first, which may be itself; an empty table gives no rows.
+doc_ids are ordered by a hash of the text; the last document's successor is the first, which may be itself; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,6 +66,20 @@ def _splitters(docs: DataFrame, n: int) -> list[int]:
     return sorted({x for x in found["at"] or [] if x > found["low"]})
 
 
+def _compressed(docs: DataFrame) -> DataFrame:
+    """doc_id, tie (orders rows with one doc_id) and the text, compressed: less than Spark's own codec leaves of it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("packed", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, out = zstandard.ZstdCompressor(level=3), Out(schema)
+        for doc_id, tie, text in rows(batches):
+            if out.add(doc_id, tie, press.compress((text or "").encode("utf-8", "surrogatepass"))):
+                yield from out.flush()
+        yield from out.flush()
+
+    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, packed binary")
+
+
 def compared(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
@@ -78,27 +92,29 @@ def compared(docs: DataFrame) -> DataFrame:
     marks = shared.join(groups, "fingerprint").select("doc_id")
 
     block = F.coalesce(_rank(at), F.lit(0))
-    own = docs.select(block.alias("block"), F.lit(False).alias("ahead"), "doc_id", F.lit(1).alias("kind"), "text")
+    sent = _compressed(docs)
+    own = sent.select(block.alias("block"), F.lit(False).alias("ahead"), "doc_id", F.lit(1).alias("kind"), "tie", "packed")
     first = F.col("doc_id").isNull() if ends["null"] else F.col("doc_id") == F.lit(ends["low"])
-    ahead = docs.filter(first | (F.col("doc_id").isin(at) if at else F.lit(False))).select(
-        F.when(first, F.lit(len(at))).otherwise(block - 1).alias("block"), F.lit(True).alias("ahead"), "doc_id", F.lit(1).alias("kind"), "text"
+    ahead = _compressed(docs.filter(first | (F.col("doc_id").isin(at) if at else F.lit(False)))).select(
+        F.when(first, F.lit(len(at))).otherwise(block - 1).alias("block"), F.lit(True).alias("ahead"), "doc_id", F.lit(1).alias("kind"), "tie", "packed"
     )
-    mark = marks.select(block.alias("block"), F.lit(False).alias("ahead"), "doc_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text"))
-    dealt = own.unionByName(ahead).unionByName(mark).repartition(n, "block").sortWithinPartitions("block", "ahead", F.col("doc_id").asc_nulls_first(), "kind", F.col("text").asc_nulls_first())
+    mark = marks.select(block.alias("block"), F.lit(False).alias("ahead"), "doc_id", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("binary").alias("packed"))
+    dealt = own.unionByName(ahead).unionByName(mark).repartition(n, "block").sortWithinPartitions("block", "ahead", F.col("doc_id").asc_nulls_first(), "kind", "tie").select("block", "ahead", "doc_id", "kind", "packed")
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("canonical", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, press = Out(schema), zstandard.ZstdCompressor(level=3)
+        expand = zstandard.ZstdDecompressor()
         held, marked = None, object()
-        for blk, is_ahead, doc_id, kind, text in rows(batches):
+        for blk, is_ahead, doc_id, kind, packed in rows(batches):
             if kind == 0:
                 marked = doc_id
                 continue
-            text = text or ""
             if held is None and is_ahead:
                 continue  # a later look ahead of the same range
+            text = expand.decompress(packed).decode("utf-8", "surrogatepass")
             own_bytes = canonical(text)
             if held is not None:
                 _, old_id, old, old_bytes, old_marked = held
