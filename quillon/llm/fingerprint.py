@@ -87,7 +87,7 @@ def compared(docs: DataFrame) -> DataFrame:
     n = max(2, min(20_000, 2 * shuffle_partitions(spark)))
     at = _splitters(docs, n)
     ends = docs.agg(F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("null")).first()
-    shared = fingerprints(docs).groupBy("fingerprint", "doc_id").count()
+    shared = written(fingerprints(docs).groupBy("fingerprint", "doc_id").count(), "fingerprints")
     groups = shared.groupBy("fingerprint").agg(F.sum("count").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").select("fingerprint", "first")
     marks = shared.join(groups, "fingerprint").select("doc_id")
 
