@@ -26,6 +26,7 @@ in overlapping parts; extra columns pass through.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,7 @@ LENGTH, GRAM = 100, 32
 HOT = 4096
 MAX_HOT = 4_000_000
 #: Bytes hashed at a time, anchors a task sorts at once, suffixes in a run.
-PART, ANCHORS, RUN = 1 << 21, 2_000_000, 150_000
+PART, ANCHORS, RUN = 1 << 19, 400_000, 60_000
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -277,7 +278,7 @@ class Run:
         columns = []
         for kind in ("<u2", "<u2", "<u2", "<i8", "<i8"):
             a, at = _unplanes(raw, at, self.n, kind)
-            columns.append(a.tolist())
+            columns.append(array("H" if kind == "<u2" else "q", a.tobytes()))
         self.lcp, sizes, self.lefts, self.docs, self.places = columns
         self.raw, self.sizes, self.rest, self.before = raw, sizes, at, at + sum(sizes)
         self.i, self.x, self.left = -1, b"", b""
@@ -481,7 +482,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """_key and spans, an array of (lo, hi): starts of the strings that occur earlier. docs: _key (not null) and data."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), total >> 27)
+    buckets = max(2 * shuffle_partitions(spark), total >> 27)
     hot_from = max(HOT, total // 35 // MAX_HOT)
     found = written(_repeated(_fingerprints(docs, buckets, length), hot_from), "anchors")
     hot = np.array(sorted(r["hot"] for r in found.filter("hot is not null").select("hot").distinct().collect()), dtype=np.int64).view(np.uint64)
