@@ -13,7 +13,7 @@ from quillon.plans.prefix import running_total
 def canonical(df: DataFrame, label: str, node: str = "node") -> DataFrame:
     """node, community from any labels; -1 stays -1."""
     own = df.select(F.col(node).cast("long").alias("node"), F.col(label).alias("_label"))
-    first = own.filter(~F.col("_label").eqNullSafe(F.lit(-1))).groupBy("_label").agg(F.min("node").alias("_first"))
+    first = own.filter(F.coalesce(F.col("_label").cast("string"), F.lit("")) != "-1").groupBy("_label").agg(F.min("node").alias("_first"))
     numbered = running_total(first, [F.col("_first")], F.lit(1), "_n").select("_label", (F.col("_n") - 1).cast("int").alias("community"))
     return own.join(numbered, "_label", "left").select("node", F.coalesce("community", F.lit(-1)).alias("community"))
 
