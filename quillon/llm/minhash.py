@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import Out, rows, shared_dir, shuffle_partitions, table, with_key, written
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Members that stream past one copy of a centre.
 STAR = 512
 

@@ -31,7 +31,7 @@ from quillon.llm.bpe import byte_letters
 from quillon.llm.common import Out, rows, shuffle_partitions, table, written
 
 SIZE, DIMS, BITS, BUCKETS = 1024, 4, 15, 1024
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 
 
 class ByteEncoder:

@@ -41,7 +41,7 @@ SWAPS = {
 }
 _MARKS = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»¿¡…“”„"
 _BUCKETS = 1 << 22
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 
 @dataclass(frozen=True)
