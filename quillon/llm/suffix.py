@@ -64,6 +64,13 @@ def _hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _spread(h: np.ndarray) -> np.ndarray:
+    """A bijection of hashes: those of anchors are smallest in their windows, and ranges of them would be very uneven."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
+
+
 def _anchors_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each start of a string its anchor; and the hashes."""
     h = _hashes(data)
@@ -100,7 +107,7 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
         base = (ends - sizes)[own[lo]]
         text = np.array([t for t, _, _ in group])[own[lo]]
         skip = np.array([o for _, o, _ in group])[own[lo]]
-        found.append((text, at[lo] - base + skip, start[lo] - base + skip, start[hi] - base + skip, h[at[lo]]))
+        found.append((text, at[lo] - base + skip, start[lo] - base + skip, start[hi] - base + skip, _spread(h[at[lo]])))
 
     for t, b in enumerate(texts):
         for o in range(0, max(0, len(b) - length + 1), PART):
