@@ -59,8 +59,9 @@ def induces_connected_subgraph(g: Graph, nodes: DataFrame) -> bool:
     return labels_of(own, inside).select("label").distinct().count() <= 1
 
 
-def _peeled(steps: Steps, nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _peeled(nodes: DataFrame, arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes left, arcs left) without nodes that lack incoming or outgoing arcs, again and again."""
+    steps = Steps(nodes.sparkSession, depth=4)
     while True:
         both = arcs.select(F.col("src").alias("node")).intersect(arcs.select(F.col("dst").alias("node")))
         left = steps.keep(nodes.join(both, "node", "left_semi"))
@@ -79,14 +80,13 @@ def strong_labels(g: Graph) -> DataFrame:
         return component_labels(g)
     if g.fits:
         return g.in_one_task(lambda c: {"node": np.arange(c.order), "label": kernels.strong_components(c)}, "node long, label long")
-    steps = Steps(g.spark, depth=12)
     nodes, arcs = g.nodes(), g.edges.filter("src <> dst").select("src", "dst")
     done = None
     while True:
-        nodes, arcs = _peeled(steps, nodes, arcs)
+        nodes, arcs = _peeled(nodes, arcs)
         if not nodes.take(1):
             break
-        colour = nodes.select("node", F.col("node").alias("c"))
+        colour, steps = nodes.select("node", F.col("node").alias("c")), Steps(g.spark)
         while True:
             near = arcs.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("n"))
             new = steps.keep(colour.join(near, "node", "left").select("node", F.col("c").alias("was"), F.least("c", F.coalesce("n", "c")).alias("c")))
@@ -94,7 +94,8 @@ def strong_labels(g: Graph) -> DataFrame:
             if not new.filter("c <> was").take(1):
                 break
         ends = colour.select(F.col("node").alias("src"), F.col("c").alias("cs")), colour.select(F.col("node").alias("dst"), F.col("c").alias("cd"))
-        inside = steps.keep(arcs.join(ends[0], "src").join(ends[1], "dst").filter("cs = cd").select("src", "dst", F.col("cs").alias("c")))
+        inside = Steps(g.spark).keep(arcs.join(ends[0], "src").join(ends[1], "dst").filter("cs = cd").select("src", "dst", F.col("cs").alias("c")))
+        steps = Steps(g.spark, depth=3)
         found = front = steps.keep(colour.filter("node = c"))
         while True:
             back = inside.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "c").distinct()
@@ -104,6 +105,7 @@ def strong_labels(g: Graph) -> DataFrame:
             found = steps.keep(found.unionByName(front))
         own = Steps(g.spark).keep(found.select("node", F.col("c").alias("label")))
         done = own if done is None else done.unionByName(own)
+        steps = Steps(g.spark, depth=2)
         nodes = steps.keep(nodes.join(own, "node", "left_anti"))
         arcs = steps.keep(arcs.join(own.select(F.col("node").alias("src")), "src", "left_anti").join(own.select(F.col("node").alias("dst")), "dst", "left_anti"))
     if done is None:
