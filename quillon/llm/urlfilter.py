@@ -41,10 +41,12 @@ class Rule:
 
 @dataclass(frozen=True)
 class Level:
-    """A Bloom filter: 64-bit words and the number of probes."""
+    """A Bloom filter: 64-bit words, the number of probes, and the seed of its hashes (each level has its own, or what one
+    takes wrongly the next could again)."""
 
     words: tuple[int, ...]
     probes: int
+    seed: int = 0
 
     def holds(self, key: Column) -> Column:
         if not self.words:
@@ -52,22 +54,22 @@ class Level:
         words = F.from_json(F.lit(json.dumps(self.words)), "array<bigint>")
         return F.forall(
             F.sequence(F.lit(0), F.lit(self.probes - 1)),
-            lambda i: F.getbit(F.element_at(words, (_slot(key, i, len(self.words)) / 64).cast("int") + 1), (_slot(key, i, len(self.words)) % 64).cast("int")) == 1,
+            lambda i: F.getbit(F.element_at(words, (_slot(key, i, len(self.words), self.seed) / 64).cast("int") + 1), (_slot(key, i, len(self.words), self.seed) % 64).cast("int")) == 1,
         )
 
 
-def _slot(key: Column, i: Column, n_words: int) -> Column:
+def _slot(key: Column, i: Column, n_words: int, seed: int) -> Column:
     """The i-th bit position of a key, by double hashing."""
     bits = F.lit(n_words * 64)
-    step = F.pmod(F.xxhash64(F.lit("step"), key), bits - 1) + 1
-    return F.pmod(F.pmod(F.xxhash64(key), bits) + i * step, bits)
+    step = F.pmod(F.xxhash64(F.lit("step"), F.lit(seed), key), bits - 1) + 1
+    return F.pmod(F.pmod(F.xxhash64(F.lit(seed), key), bits) + i * step, bits)
 
 
-def _level(keys: DataFrame, n: int, bits_per_key: float) -> Level:
+def _level(keys: DataFrame, n: int, bits_per_key: float, seed: int) -> Level:
     """A filter of the column `key`; bits are set by one hash aggregation over its words."""
     n_words = max(2, math.ceil(n * bits_per_key / 64))
     probes = max(1, round(bits_per_key * math.log(2)))
-    slots = keys.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: _slot(F.col("key"), i, n_words))).alias("slot"))
+    slots = keys.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(probes - 1)), lambda i: _slot(F.col("key"), i, n_words, seed))).alias("slot"))
     found = (
         slots.select((F.col("slot") / 64).cast("int").alias("word"), (F.col("slot") % 64).cast("int").alias("bit"))
         .groupBy("word")
@@ -77,7 +79,7 @@ def _level(keys: DataFrame, n: int, bits_per_key: float) -> Level:
     words = [0] * n_words
     for r in found:
         words[r["word"]] = r["bits"]
-    return Level(tuple(words), probes)
+    return Level(tuple(words), probes, seed)
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -127,11 +129,11 @@ def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: float |
     others = universe.select("key").filter(F.col("key").isNotNull()).distinct()
     n_others = others.count()
     first = bits_per_key or min(24.0, max(8.0, 1.44 * math.log2(max(2, n_others / n_listed))))
-    levels = [_level(listed, n_listed, first)]
+    levels = [_level(listed, n_listed, first, 0)]
     wrong = others.filter(levels[0].holds(F.col("key"))).join(listed, "key", "left_anti").checkpoint()
     right, n = listed, wrong.count()
     while n:
-        levels.append(_level(wrong, n, bits_per_key or 8.0))
+        levels.append(_level(wrong, n, bits_per_key or 8.0, len(levels)))
         right, wrong = wrong, right.filter(levels[-1].holds(F.col("key"))).checkpoint()
         n = wrong.count()
         if len(levels) > 64:

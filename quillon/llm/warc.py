@@ -150,7 +150,9 @@ class WarcReader(DataSourceReader):
     def wanted(self, head: dict[str, object]) -> bool:
         return all(head[c] in v if how == "in" else isinstance(head[c], str) and head[c].startswith(v) for c, how, v in self.tests)
 
-    def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FileGroup | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no files
+            return
         fs, _ = _fs(self.path)
         out = Out(_ARROW)
         for path in partition.files:
