@@ -8,11 +8,11 @@ component's smallest node; results depend neither on partitioning nor on the oth
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,36 +26,64 @@ from quillon.operators.graph.frame import Graph
 
 
 def _by_component(g: Graph, f: Callable, schema: str, initial: DataFrame | None = None) -> DataFrame:
-    """f(nodes, src, dst, weight, seed of the component, initial) over components with an edge; src and dst are places."""
+    """f(nodes, src, dst, weight, initial) over components with an edge, one after another from sorted partitions, so that a
+    task holds one component; src and dst are places in nodes. f gives rows."""
     label = settled(component_labels(g))
     edges = g.edges.join(label.select(F.col("node").alias("src"), F.col("label").alias("c")), "src").select("c", "src", "dst", "weight")
-    # nodes without edges have no rows; initial communities come along as rows without an end
-    if initial is not None:
-        own = initial.join(label, "node").select(F.col("label").alias("c"), F.col("node").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("community").cast("double").alias("weight"))
+    if initial is not None:  # starting communities come along as rows without an end
+        own = initial.join(label, "node").select(F.col("label").alias("c"), F.col("node").alias("src"), F.lit(-1).cast("long").alias("dst"), F.col("community").cast("double").alias("weight"))
         edges = edges.unionByName(own)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        given = pdf[pdf["dst"].isna()]
-        pdf = pdf[pdf["dst"].notna()]
-        src, dst = pdf["src"].to_numpy(dtype=np.int64), pdf["dst"].to_numpy(dtype=np.int64)
-        order = np.lexsort((dst, src))
-        src, dst, weight = src[order], dst[order], pdf["weight"].to_numpy(dtype=float)[order]
-        nodes = np.unique(np.concatenate((src, dst)))
-        start = None
-        if len(given) and len(nodes):
-            known = dict(zip(given["src"], given["weight"], strict=True))
-            start = [int(known[u]) for u in nodes.tolist()]
-        if not len(nodes):
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        return f(nodes, np.searchsorted(nodes, src), np.searchsorted(nodes, dst), weight, int(nodes[0]), start)
-
-    return settled(edges.groupBy("c").applyInPandas(run, schema))
+    names, kinds = [c.split()[0] for c in schema.split(", ")], g.spark.createDataFrame([], schema).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        at, out = None, []
+
+        def search_one() -> list[tuple]:
+            src, dst, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+            given = dst < 0
+            start = dict(zip(src[given].tolist(), weight[given].tolist(), strict=True))
+            src, dst, weight = src[~given], dst[~given], weight[~given]
+            if not len(src):
+                return []
+            nodes = np.unique(np.concatenate((src, dst)))
+            return f(nodes, np.searchsorted(nodes, src), np.searchsorted(nodes, dst), weight, [int(start[u]) for u in nodes.tolist()] if start else None)
+
+        for b in batches:
+            c, src, dst, weight = (x.to_numpy() for x in b.columns)
+            cuts = [0, *(np.flatnonzero(c[1:] != c[:-1]) + 1).tolist(), len(c)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if hi == lo:
+                    continue
+                if held and c[lo] != at:
+                    out += search_one()
+                    held.clear()
+                at = c[lo]
+                held.append((src[lo:hi], dst[lo:hi], weight[lo:hi]))
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=kinds)
+                    out = []
+        if held:
+            out += search_one()
+        if out:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=kinds)
+
+    parts = int(g.spark.conf.get("spark.sql.shuffle.partitions"))
+    return settled(edges.repartition(parts, "c").sortWithinPartitions("c", "src", "dst").mapInArrow(run, schema))
 
 
 def _seed(seed: int, first: int) -> int:
     return zlib.crc32(f"{seed}:{first}".encode())
 
 
+def _labelled(nodes: np.ndarray, member: list[int], more: int) -> list[tuple]:
+    """(node, smallest node of its community) and empty columns."""
+    low: dict[int, int] = {}
+    for u, c in zip(nodes.tolist(), member, strict=True):
+        low.setdefault(c, u)
+    return [(u, low[c], *[None] * more) for u, c in zip(nodes.tolist(), member, strict=True)]
+
+
 @dataclass(frozen=True)
 class Leiden:
     objective: object = field(default_factory=Modularity)
@@ -91,14 +119,10 @@ class Leiden:
         if initial is not None:
             require(initial.count() == g.order(), "the starting partition covers another number of nodes than the graph has")
 
-        def f(nodes, src, dst, weight, first, start) -> pd.DataFrame:
+        def f(nodes, src, dst, weight, start) -> list[tuple]:
+            first = int(nodes[0])
             member, trace = search.leiden(len(nodes), src, dst, weight, objective, two_m, _seed(opts.seed, first), opts.randomness, opts.max_iterations, passes, start)
-            low: dict[int, int] = {}
-            for u, c in zip(nodes.tolist(), member, strict=True):
-                low.setdefault(c, u)
-            rows = [(u, low[c], None, None, None, None) for u, c in zip(nodes.tolist(), member, strict=True)]
-            rows += [(first, None, *t) for t in trace]
-            return pd.DataFrame(rows, columns=["node", "label", "level", "nodes", "communities", "refined"]).astype({c: "Int64" for c in ("label", "level", "nodes", "communities", "refined")})
+            return _labelled(nodes, member, 4) + [(first, None, *t) for t in trace]
 
         return _by_component(g, f, "node long, label long, level long, nodes long, communities long, refined long", initial)
 
@@ -130,12 +154,8 @@ class LabelPropagation:
         g.need_undirected("label propagation")
         opts = self
 
-        def f(nodes, src, dst, weight, first, start) -> pd.DataFrame:
-            member = search.propagate(len(nodes), src, dst, weight, _seed(opts.seed, first), opts.max_iterations)
-            low: dict[int, int] = {}
-            for u, c in zip(nodes.tolist(), member, strict=True):
-                low.setdefault(c, u)
-            return pd.DataFrame({"node": nodes, "label": [low[c] for c in member]})
+        def f(nodes, src, dst, weight, start) -> list[tuple]:
+            return _labelled(nodes, search.propagate(len(nodes), src, dst, weight, _seed(opts.seed, int(nodes[0])), opts.max_iterations), 0)
 
         found = _by_component(g, f, "node long, label long")
         return canonical(g.nodes().join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "label")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillon.errors import require
 from quillon.functions.distributions import FisherSnedecor, StudentT
-from quillon.functions.sums import exact_sums
+from quillon.functions.sums import exact_sums, products
 from quillon.iterate import python_path
 
 _EPS = 2.0**-52
@@ -108,7 +108,15 @@ class Fit:
 
 
 def _residual(x: np.ndarray, y: np.ndarray, b: list[float]) -> np.ndarray:
-    return np.array([math.fsum([v, *(t for xi, bi in zip(row, b, strict=True) for t in (-xi * bi, -math.fma(xi, bi, -(xi * bi))))]) for row, v in zip(x.tolist(), y.tolist(), strict=True)])
+    """y - x b with exact products and the sums' rounding errors carried along (twice the working precision)."""
+    total, rest = y.astype(float), np.zeros(len(y))
+    for i, v in enumerate(b):
+        p, low = products(x[:, i], np.full(len(y), -v))
+        new = total + p
+        back = new - total
+        rest += ((total - (new - back)) + (p - back)) + low
+        total = new
+    return total + rest
 
 
 def _solve(df: DataFrame, names: list[str], intercept: bool) -> Fit:
