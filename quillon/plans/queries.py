@@ -604,6 +604,6 @@ def mmr(spark, d):
 def rrf(spark, d):
     """R6 of two rankings of the parts, by price and by key."""
     p = _t(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_retailprice")
-    rank = lambda *c: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*c))
-    both = p.select("key", F.lit("price").alias("ranking"), rank(F.desc("p_retailprice"), "key").alias("position")).unionByName(p.select("key", F.lit("key").alias("ranking"), rank(F.asc("key")).alias("position")))
+    place = lambda first: F.struct(first.alias("a"), F.col("key").alias("b")).alias("position")
+    both = p.select("key", F.lit("price").alias("ranking"), place(-F.col("p_retailprice"))).unionByName(p.select("key", F.lit("key").alias("ranking"), place(F.col("key").cast("double"))))
     return search.reciprocal_rank_fusion(both).select("key", _r("score", 12).alias("score"))
