@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import tempfile
@@ -13,6 +14,25 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon import errors
 
 
+_kept: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        try:
+            for path in _kept:
+                _delete(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may have gone first
+            pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +60,7 @@ def settled(df: DataFrame) -> DataFrame:
     library that a kernel raised come out as themselves."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-steps/{uuid.uuid4().hex}"
+    _kept.append(path)
     try:
         df.write.parquet(path)
     except PySparkException as e:
@@ -60,7 +81,8 @@ class Steps:
         path = f"{shared_dir(self.spark)}/quillon-steps/{uuid.uuid4().hex}"
         (df.coalesce(files) if files else df).write.parquet(path)
         self.paths.append(path)
+        _kept.append(path)
         while len(self.paths) > self.depth:
-            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _kept.remove(self.paths[0])
+            _delete(self.spark, self.paths.pop(0))
         return self.spark.read.schema(df.schema).parquet(path)
