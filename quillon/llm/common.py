@@ -126,7 +126,11 @@ def lower_ascii(c: Column) -> Column:
 
 
 def with_key(docs: DataFrame, text: str = "text", key: str = "_key") -> DataFrame:
-    """docs with a unique-or-equal, never null, order-preserving long key.
+    return keyed(docs, text, key)[0]
+
+
+def keyed(docs: DataFrame, text: str = "text", key: str = "_key") -> tuple[DataFrame, bool]:
+    """docs with a unique-or-equal, never null, order-preserving long key; and whether that is doc_id itself.
 
     Usually that is doc_id itself. Only where doc_ids are null or repeated (one look at that column decides), keys are
     numbered over the distinct (doc_id, text): null ids first, equal ids by the text's SHA-256. Rows equal in both share
@@ -135,7 +139,7 @@ def with_key(docs: DataFrame, text: str = "text", key: str = "_key") -> DataFram
     ids = docs.select("doc_id")
     odd = ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
     if not odd.take(1):
-        return docs.withColumn(key, F.col("doc_id").cast("long"))
+        return docs.withColumn(key, F.col("doc_id").cast("long")), True
     mark = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     numbered = written(
         docs.select("doc_id", mark.alias("_mark")).distinct().sort("doc_id", "_mark").withColumn(key, F.monotonically_increasing_id()),
@@ -144,4 +148,4 @@ def with_key(docs: DataFrame, text: str = "text", key: str = "_key") -> DataFram
     marked = docs.withColumn("_mark", mark)
     return marked.join(numbered, marked["doc_id"].eqNullSafe(numbered["_id"]) & (marked["_mark"] == numbered["_mark"])).select(
         *(marked[c] for c in docs.columns), numbered[key]
-    )
+    ), False

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Out, rows, shuffle_partitions, table, with_key, written
+from quillon.llm.common import Out, keyed, rows, shuffle_partitions, table, with_key, written
 
 LENGTH, GRAM = 100, 32
 HOT = 4096
@@ -518,9 +518,11 @@ def _inputs(docs: DataFrame) -> DataFrame:
 
 
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    keyed = _inputs(with_key(docs.select("doc_id", "text")).select("_key", "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data")))
-    spans = repeated_strings(keyed.select("_key", "data"), length)
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. Both joins with the texts take the same columns by the same key, so
+    their one exchange is written once."""
+    given, plain = keyed(docs.select("doc_id", "text"))
+    texts = _inputs(given.select("_key", F.coalesce("text", F.lit("")).cast("binary").alias("data")))
+    spans = repeated_strings(texts, length)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -531,15 +533,19 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield from out.flush()
         yield from out.flush()
 
-    joined = keyed.join(spans.hint("shuffle_hash"), "_key", "left").select(F.col("doc_id").cast("long"), "data", "spans")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = texts.join(spans.hint("shuffle_hash"), "_key", "left").select("_key", "data", "spans")
+    found = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    if plain:
+        return found
+    names = given.select("_key", F.col("doc_id").cast("long").alias("_id")).distinct()
+    return found.join(names, found["doc_id"] == names["_key"]).select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated bytes of text removed (a character of which some bytes are removed goes whole), n_chars, where
     it is a column, of what is left."""
-    keyed = _inputs(with_key(docs))
-    spans = repeated_strings(keyed.select("_key", F.coalesce("text", F.lit("")).cast("binary").alias("data")), length)
+    given = _inputs(with_key(docs))
+    spans = repeated_strings(given.select("_key", F.coalesce("text", F.lit("")).cast("binary").alias("data")), length)
     names = docs.columns
     text, n_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     schema = docs.schema
@@ -557,7 +563,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns[n_chars] = pa.array([None if t is None else len(t) for t in texts], columns[n_chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    joined = keyed.join(spans.hint("shuffle_hash"), "_key", "left").select(*(keyed[c] for c in names), "spans")
+    joined = given.join(spans.hint("shuffle_hash"), "_key", "left").select(*(given[c] for c in names), "spans")
     return joined.mapInArrow(run, schema)
 
 
