@@ -6,8 +6,12 @@ of its two histograms from its language's reference: it is kept if neither is ab
 `min_words` words for the character classes, or `min_common_words` for the common words, are too short to judge by that
 histogram and pass it. The base rules (word count, repeated 5-word windows) come first.
 
-Defined results: a null or empty text has no words and fails the base rules; a null language, and any beyond the
-`MAX_LANGS` most frequent, is judged by the sum over all documents; rows repeated in full are each judged alike; words are
+Every language, however rare, has its own reference. Those of the `HELD` most frequent ones travel with the tasks; documents
+of the others, each at most one in `HELD` of all, are joined with theirs.
+
+Defined results: a null or empty text has no words and fails the base rules; a document of null language is judged by the
+nearest reference of all (least sum of both divergences, then the first name), by the sum over all documents if every
+language is null; a language's only document is its own reference; rows repeated in full are each judged alike; words are
 runs of bytes other than space and \\t \\n \\v \\f \\r; very long texts are counted whole.
 """
 
@@ -33,7 +37,10 @@ WORDS = sorted({w for ws in COMMON.values() for w in ws})
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 N_CLASSES = 10
-MAX_LANGS = 64
+#: Languages whose references (about 1 KB each) travel with every task; no limit to how many there are.
+HELD = 1024
+#: References that a document of null language is compared with at once, beyond those held.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -177,32 +184,96 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, entropy(m) - (entropy(p) + entropy(q)) / 2)))
 
 
-def references(counted: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Sums of the histograms over all documents per language, the most frequent MAX_LANGS; at None over all languages."""
+def _entropies(x: np.ndarray) -> np.ndarray:
+    return -(x * np.log2(np.where(x > 0, x, 1))).sum(axis=-1)
+
+
+def divergences(p: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Squares of jensen_shannon(p, q) for the rows q of refs."""
+    total = refs.sum(axis=1)
+    if not p.sum():
+        return np.zeros(len(refs))
+    p, q = p / p.sum(), refs / np.maximum(total, 1)[:, None]
+    found = _entropies((p + q) / 2) - (_entropies(p) + _entropies(q)) / 2
+    return np.where(total > 0, np.maximum(found, 0.0), 0.0)
+
+
+def nearest(chars: np.ndarray, common: np.ndarray, refs: tuple[np.ndarray, np.ndarray]) -> tuple[float, int]:
+    """Least sum of both divergences and the place of the first reference that has it; sums are rounded to 12 digits."""
+    apart = np.round(divergences(chars, refs[0]) + divergences(common, refs[1]), 12)
+    at = int(apart.argmin())
+    return float(apart[at]), at
+
+
+@dataclass(frozen=True)
+class Held:
+    """References of the most frequent languages in the order of their names, and the sum over all documents."""
+
+    names: list[str]
+    refs: tuple[np.ndarray, np.ndarray]
+    whole: tuple[np.ndarray, np.ndarray]
+
+    def of(self, lang: str | None, at: dict[str, int], chars: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.names:
+            return self.whole
+        i = nearest(chars, common, self.refs)[1] if lang is None else at[lang]
+        return self.refs[0][i], self.refs[1][i]
+
+    def places(self) -> dict[str, int]:
+        return {x: i for i, x in enumerate(self.names)}
+
+
+def references(counted: DataFrame, held: int = HELD) -> tuple[Held, DataFrame | None]:
+    """Sums of the histograms over all documents per language: the most frequent `held` ones, and a frame (lang, ref_chars,
+    ref_common) of all others, None if there are none."""
     sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(N_CLASSES)] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
 
-    def histogram(r) -> tuple[np.ndarray, np.ndarray]:
-        return np.array([r[f"c{i}"] or 0 for i in range(N_CLASSES)], dtype=float), np.array([r[f"w{i}"] or 0 for i in range(len(WORDS) + 1)], dtype=float)
+    def histograms(found: list) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.array([[r[f"{x}{i}"] or 0 for i in range(n)] for r in found], dtype=float).reshape(len(found), n) for x, n in (("c", N_CLASSES), ("w", len(WORDS) + 1)))
 
     shared_dir(counted.sparkSession)
     by_lang = counted.groupBy("lang").agg(F.count("*").alias("n"), *sums).checkpoint()
-    out = {r["lang"]: histogram(r) for r in by_lang.filter("lang is not null").orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    out[None] = histogram(by_lang.agg(*(F.sum(c).alias(c) for c in by_lang.columns[2:])).first())
-    return out
+    known = by_lang.filter("lang is not null")
+    first = known.orderBy(F.desc("n"), "lang").limit(held + 1).collect()
+    more, first = len(first) > held, sorted(first[:held], key=lambda r: r["lang"])
+    whole = histograms([by_lang.agg(*(F.sum(c).alias(c) for c in by_lang.columns[2:])).first()])
+    out = Held([r["lang"] for r in first], histograms(first), (whole[0][0], whole[1][0]))
+    if not more:
+        return out, None
+    rest = known.filter(~F.col("lang").isin(out.names))
+    return out, rest.select("lang", F.array(*(f"c{i}" for i in range(N_CLASSES))).alias("ref_chars"), F.array(*(f"w{i}" for i in range(len(WORDS) + 1))).alias("ref_common"))
+
+
+def _nearest_of_all(unnamed: DataFrame, held: Held, rest: DataFrame) -> DataFrame:
+    """The distinct histograms (chars, common) of `unnamed` with the nearest reference of all languages."""
+    spark = unnamed.sparkSession
+    own = spark.createDataFrame([(x, list(map(int, c)), list(map(int, w))) for x, c, w in zip(held.names, *held.refs, strict=True)], rest.schema)
+    refs = own.unionByName(rest)
+    blocks = refs.groupBy(F.pmod(F.xxhash64("lang"), F.lit(-(-refs.count() // BLOCK))).alias("block")).agg(F.sort_array(F.collect_list(F.struct("lang", "ref_chars", "ref_common"))).alias("refs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chars, common, block in rows(batches):
+            score, at = nearest(np.array(chars, dtype=float), np.array(common, dtype=float), tuple(np.array([x[c] for x in block], dtype=float) for c in ("ref_chars", "ref_common")))
+            row = {"chars": [chars], "common": [common], "score": [score], **{c: [block[at][c]] for c in ("lang", "ref_chars", "ref_common")}}
+            yield pa.RecordBatch.from_pydict(row)
 
+    ddl = "chars array<long>, common array<long>, score double, lang string, ref_chars array<long>, ref_common array<long>"
+    best = unnamed.select("chars", "common").distinct().crossJoin(blocks.select("refs")).mapInArrow(run, ddl)
+    return best.groupBy("chars", "common").agg(F.min(F.struct("score", "lang", "ref_chars", "ref_common")).alias("r")).select("chars", "common", "r.ref_chars", "r.ref_common")
 
-def judged(docs: DataFrame, keep: list[str], limits: Limits = Limits()) -> DataFrame:
-    """The columns `keep` of docs with the base counts, base_failed, char_distance, word_distance and kept."""
-    counted = written(measured(docs, keep), "quality")
-    refs = references(counted)
 
+def _judged(counted: DataFrame, keep: list[str], limits: Limits, held: Held, rest: DataFrame | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = held.places()
         for b in batches:
             chars = np.array(b["chars"].to_pylist(), dtype=float).reshape(b.num_rows, N_CLASSES)
             common = np.array(b["common"].to_pylist(), dtype=float).reshape(b.num_rows, len(WORDS) + 1)
             n, again = b["n_words"].to_numpy(), b["n_repeat_words"].to_numpy()
             base_failed = (n < 10) | (100 * again > 20 * n)
-            near = [refs.get(x, refs[None]) for x in b["lang"].to_pylist()]
+            if "ref_chars" in b.schema.names:
+                near = [(np.array(p, dtype=float), np.array(q, dtype=float)) for p, q in zip(b["ref_chars"].to_pylist(), b["ref_common"].to_pylist(), strict=True)]
+            else:
+                near = [held.of(x, at, p, q) for x, p, q in zip(b["lang"].to_pylist(), chars, common, strict=True)]
             dc = np.array([jensen_shannon(p, r[0]) for p, r in zip(chars, near, strict=True)], dtype=float)
             dw = np.array([jensen_shannon(p, r[1]) for p, r in zip(common, near, strict=True)], dtype=float)
             off = ((n >= limits.min_words) & (dc > limits.chars)) | ((n >= limits.min_common_words) & (dw > limits.words))
@@ -212,23 +283,43 @@ def judged(docs: DataFrame, keep: list[str], limits: Limits = Limits()) -> DataF
             )
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counted.select(*keep).schema.fields)
-    return counted.mapInArrow(run, f"{ddl}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean")
+    ddl = f"{ddl}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean"
+    if rest is None:
+        return counted.mapInArrow(run, ddl)
+    known, unnamed = counted.filter("lang is not null"), counted.filter("lang is null")
+    common_ones, rare = known.filter(F.col("lang").isin(held.names)), known.filter(~F.col("lang").isin(held.names))
+    parts = [common_ones, rare.join(rest, "lang"), unnamed.join(_nearest_of_all(unnamed, held, rest), ["chars", "common"])]
+    return parts[0].mapInArrow(run, ddl).unionByName(parts[1].mapInArrow(run, ddl)).unionByName(parts[2].mapInArrow(run, ddl))
 
 
-def filtered(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The documents that are kept, all columns. Texts are read twice (references, then verdicts) and never shuffled."""
-    refs = references(measured(docs, []))
+def judged(docs: DataFrame, keep: list[str], limits: Limits = Limits(), held: int = HELD) -> DataFrame:
+    """The columns `keep` of docs with the base counts, base_failed, char_distance, word_distance and kept."""
+    counted = written(measured(docs, keep), "quality")
+    return _judged(counted, keep, limits, *references(counted, held))
+
+
+def filtered(docs: DataFrame, limits: Limits = Limits(), held: int = HELD) -> DataFrame:
+    """The documents that are kept, all columns. Texts are read twice (references, then verdicts) and never shuffled, unless
+    there are more languages than `held`: then they are written once more, and those of rare or null language joined."""
+    most, rest = references(measured(docs, []), held)
+    if rest is not None:
+        names = [f"_{i}" for i in range(len(docs.columns))]
+        flat = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, names, strict=True)), "lang", "text")
+        found = _judged(written(measured(flat, names), "quality"), names, limits, most, rest).filter("kept")
+        return found.select(*(F.col(x).alias(c) for c, x in zip(docs.columns, names, strict=True)))
     at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = most.places()
         for b in batches:
             keep = []
             for text, name in zip(b.column(at).to_pylist(), b.column(lang).to_pylist(), strict=True):
-                n, _, _, _, again, chars, common = measure(text)
-                p, q = refs.get(name, refs[None])
+                n, _, _, _, again, *found = measure(text)
+                chars, common = (np.array(x, dtype=float) for x in found)
+                p, q = most.of(name, places, chars, common)
                 ok = n >= 10 and 100 * again <= 20 * n
-                ok = ok and (n < limits.min_words or jensen_shannon(np.array(chars, dtype=float), p) <= limits.chars)
-                keep.append(ok and (n < limits.min_common_words or jensen_shannon(np.array(common, dtype=float), q) <= limits.words))
+                ok = ok and (n < limits.min_words or jensen_shannon(chars, p) <= limits.chars)
+                keep.append(ok and (n < limits.min_common_words or jensen_shannon(common, q) <= limits.words))
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

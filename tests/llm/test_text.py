@@ -117,6 +117,27 @@ def test_quality_verdicts(spark):
     assert quality.jensen_shannon(p, p) == 0 and quality.jensen_shannon(np.array([1.0, 0]), np.array([0, 1.0])) == 1
 
 
+def test_quality_rare_and_null_languages(spark):
+    rng = random.Random(5)
+    prose = lambda words: " ".join(rng.choice(words) for _ in range(200))
+    often, made = quality.COMMON["en"][:20] + ["house", "river"], [a + b for a in ("zor", "vek", "lum", "tas", "quib") for b in ("", "an", "ild", "omm", "urg", "esk")]
+    rows = [(3 * i + j, prose(often), f"l{i:02}") for i in range(66) for j in range(3)]
+    rows += [(200 + i, prose(made), f"r{i}") for i in range(4)]
+    rows += [(300, prose(made), None), (301, prose(often), None), (302, "%#$ &|<> " * 60, None)]
+    rows += [(400, " ".join(rng.choice("%#$&|<>") * 3 + str(rng.random()) for _ in range(200)), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = {r[0] for r in rows} - {302, 400}
+    got = quality.judged(docs, ["doc_id"]).collect()
+    assert len(got) == len(rows) and {r["doc_id"] for r in got if r["kept"]} == want
+    by_blocks = quality.judged(docs, ["doc_id"], held=8)
+    assert sorted(map(tuple, by_blocks.collect())) == sorted(map(tuple, got))
+    for held in (quality.HELD, 8):
+        left = quality.filtered(docs, held=held)
+        assert left.columns == docs.columns and sorted(map(tuple, left.collect())) == sorted(r for r in rows if r[0] in want)
+    unnamed = docs.filter("lang is null")
+    assert quality.judged(unnamed, ["doc_id"]).count() == 4
+
+
 # fingerprints
 
 
