@@ -4,7 +4,7 @@ A pass over the texts counts, per document, ten character classes and the common
 per language over all documents are the references. A document is judged by the Jensen-Shannon distances (base 2, 0 to 1)
 of its two histograms from its language's reference: it is kept if neither is above its limit. Documents shorter than
 `min_words` words for the character classes, or `min_common_words` for the common words, are too short to judge by that
-histogram and pass it. The base rules (word count, repeated 5-word windows) come first.
+histogram and pass it. The limit of the common words falls with the length (`Limits.of_words`). The base rules (word count, repeated 5-word windows) come first.
 
 Every language, however rare, has its own reference. Those of the `HELD` most frequent ones travel with the tasks; documents
 of the others, each at most one in `HELD` of all, are joined with theirs.
@@ -34,6 +34,7 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero".split(),
 }
 WORDS = sorted({w for ws in COMMON.values() for w in ws})
+COMMON_SIZE = max(map(len, COMMON.values()))
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 N_CLASSES = 10
@@ -45,12 +46,24 @@ BLOCK = 256
 
 @dataclass(frozen=True)
 class Limits:
-    """Limits of the two distances and lengths (in words) from which they are judged."""
+    """Limits of the two distances and lengths (in words) from which they are judged; words_base is what the limit of the
+    common words falls to in very long texts."""
 
     chars: float = 0.28
     words: float = 0.335
     min_words: int = 40
     min_common_words: int = 150
+    words_base: float = 0.2
+
+    def of_words(self, n):
+        """Limit of the common words' distance in a text of n words, at most `words`.
+
+        In n words drawn from the reference itself, 8 n ln 2 times the divergence is about chi squared with one degree of
+        freedom a common word of the language. Twice that mean is exceeded by about two in a thousand; words_base
+        leaves room for style on top, and doesn't shrink with n: 0.2 is a text with 0.7 of its common words replaced.
+        """
+        noise = 2 * COMMON_SIZE / (8 * np.log(2) * np.maximum(n, 1))
+        return np.minimum(self.words, np.sqrt(self.words_base**2 + noise))
 
 
 def _classes() -> np.ndarray:
@@ -276,7 +289,7 @@ def _judged(counted: DataFrame, keep: list[str], limits: Limits, held: Held, res
                 near = [held.of(x, at, p, q) for x, p, q in zip(b["lang"].to_pylist(), chars, common, strict=True)]
             dc = np.array([jensen_shannon(p, r[0]) for p, r in zip(chars, near, strict=True)], dtype=float)
             dw = np.array([jensen_shannon(p, r[1]) for p, r in zip(common, near, strict=True)], dtype=float)
-            off = ((n >= limits.min_words) & (dc > limits.chars)) | ((n >= limits.min_common_words) & (dw > limits.words))
+            off = ((n >= limits.min_words) & (dc > limits.chars)) | ((n >= limits.min_common_words) & (dw > limits.of_words(n)))
             yield pa.RecordBatch.from_arrays(
                 [*(b[c] for c in keep), *(b[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), *map(pa.array, (base_failed, dc, dw, ~base_failed & ~off))],
                 names=[*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"],
@@ -319,7 +332,7 @@ def filtered(docs: DataFrame, limits: Limits = Limits(), held: int = HELD) -> Da
                 p, q = most.of(name, places, chars, common)
                 ok = n >= 10 and 100 * again <= 20 * n
                 ok = ok and (n < limits.min_words or jensen_shannon(chars, p) <= limits.chars)
-                keep.append(ok and (n < limits.min_common_words or jensen_shannon(common, q) <= limits.words))
+                keep.append(ok and (n < limits.min_common_words or jensen_shannon(common, q) <= limits.of_words(n)))
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -138,6 +138,18 @@ def test_quality_rare_and_null_languages(spark):
     assert quality.judged(unnamed, ["doc_id"]).count() == 4
 
 
+def test_quality_word_limit_falls_with_length(spark):
+    rng = random.Random(7)
+    made = [a + b + c for a in ("zor", "vek", "lum", "tas", "quib") for b in ("an", "ild", "omm", "urg", "esk") for c in ("a", "o", "er", "ish")]
+    prose = lambda n, share: " ".join(rng.choice(quality.COMMON["en"] if rng.random() < share else made) for _ in range(n))
+    texts = [prose(1500, 0.4) for _ in range(30)] + [prose(n, 0.4) for n in (50, 150, 200, 300) for _ in range(5)] + [prose(1500, 0.1)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.judged(docs, ["doc_id"]).collect()}
+    assert 0.22 < got[50]["word_distance"] < quality.Limits().words and not got[50]["kept"] and not got[50]["base_failed"]
+    assert all(got[i]["kept"] for i in range(50))
+    assert {r["doc_id"] for r in quality.filtered(docs).collect()} == set(range(50))
+
+
 # fingerprints
 
 
