@@ -110,6 +110,64 @@ def maximal_marginal_relevance(queries: DataFrame, candidates: DataFrame, k: int
     return pool.join(own, "query").groupBy("query").applyInPandas(run, f"query {kinds['query']}, key {kinds['key']}, rank int")
 
 
+def marginal_relevance_of_all(queries: DataFrame, candidates: DataFrame, k: int, weight: float = 0.5, key: str = "key", vector: str = "vector", query_key: str | None = None) -> DataFrame:
+    """query, key, rank: maximal marginal relevance with every candidate in every query's list; ties by similarity, then key.
+
+    k rounds a block of queries: each task gives its best candidate per query, given what was picked; candidates stay where
+    they are. Keys must be unique.
+    """
+    require(k >= 1, "k must be at least 1")
+    require(0 <= weight <= 1, "lambda must be between 0 and 1")
+    query_key = query_key or key
+    spark = queries.sparkSession
+    python_path(spark)
+    queries = queries.select(F.col(query_key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("v"))
+    candidates = candidates.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    dims = _checked(candidates, "v")
+    require(_checked(queries, "v") == dims, "vectors must have one length")
+    n_blocks = max(1, -(-queries.count() // max(1, BLOCK_NUMBERS // (dims * k))))
+    found = []
+    for b in range(n_blocks):
+        t = queries.filter(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == b).orderBy("query").toArrow()
+        if not t.num_rows:
+            continue
+        names, q = t["query"].to_numpy(), np.array(t["v"].to_pylist())
+        unit, keys, picked = q / np.linalg.norm(q, axis=1, keepdims=True), np.zeros((len(q), 0), dtype=np.int64), np.zeros((len(q), 0, dims))
+        for rank in range(1, k + 1):
+            held = spark.sparkContext.broadcast((unit, keys, picked))
+
+            def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+                unit, keys, picked = held.value
+                best = [None] * len(unit)
+                for batch in batches:
+                    for lo in range(0, batch.num_rows, 4096):
+                        part = batch.slice(lo, 4096)
+                        own, c = part["key"].to_numpy(), np.array(part["v"].to_pylist())
+                        c /= np.linalg.norm(c, axis=1, keepdims=True)
+                        for i in range(len(unit)):
+                            like = np.clip(c @ unit[i], -1, 1)
+                            again = np.maximum(0, np.clip(c @ picked[i].T, -1, 1).max(axis=1)) if len(picked[i]) else 0.0
+                            score = weight * like - (1 - weight) * again if len(picked[i]) else like
+                            score = np.where(np.isin(own, keys[i]), -np.inf, score)
+                            j = np.lexsort((own, -like, -score))[0]
+                            at = (-score[j], -like[j], int(own[j]))
+                            if score[j] > -np.inf and (best[i] is None or at < best[i][0]):
+                                best[i] = (at, c[j].tolist())
+                out = [(i, *x[0], x[1]) for i, x in enumerate(best) if x is not None]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], names=["i", "s", "r", "key", "v"])
+
+            tops = candidates.mapInArrow(run, "i long, s double, r double, key long, v array<double>")
+            tops = tops.groupBy("i").agg(F.min(F.struct("s", "r", "key", "v")).alias("x")).select("i", "x.key", "x.v").orderBy("i").collect()
+            held.destroy()
+            if not tops:
+                break
+            found += [(int(names[r["i"]]), r["key"], rank) for r in tops]
+            keys = np.concatenate((keys, np.array([[r["key"]] for r in tops])), axis=1)
+            picked = np.concatenate((picked, np.array([[r["v"]] for r in tops])), axis=1)
+    return spark.createDataFrame(found, "query long, key long, rank int")
+
+
 def reciprocal_rank_fusion(rankings: DataFrame, k: int = 60, key: str = "key", position: str = "position", ranking: str = "ranking", by: list[str] | None = None) -> DataFrame:
     """key, score and rank (a query, `by`). A key's first place in a ranking counts, and later ones still take up places.
     position orders a ranking; places are counted from 1. Contributions are added from the largest rank on."""

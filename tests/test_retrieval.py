@@ -56,6 +56,24 @@ def test_mmr(spark, vectors):
         search.maximal_marginal_relevance(query, pool, 4, 1.5)
 
 
+def test_mmr_query_takes_all_vectors(spark, tmp_path):
+    from quillon.plans.queries import QUERIES
+
+    # 40 near copies of the query fill its 30 nearest; key 99 is farther off and the only one that isn't redundant
+    near = [[1.0, 0.001 * i, 0.0] for i in range(40)]
+    rows = [(100 if i == 0 else i + 100, v) for i, v in enumerate(near)] + [(99, [0.6, 0.0, 0.8])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query"], r["rank"]): r["key"] for r in QUERIES["mmr"](spark, str(tmp_path)).collect()}
+    import numpy as np
+
+    vectors, units = dict(rows), {k: np.array(v) / np.linalg.norm(v) for k, v in rows}
+    for q in (100, 120):
+        keys = sorted(vectors, key=lambda k: (-units[k] @ units[q], k))
+        want = [keys[i] for i in search.mmr(np.array(vectors[q]), np.array([vectors[k] for k in keys]), 5, 0.5)]
+        assert [got[q, i] for i in range(1, 6)] == want
+    assert 99 in [got[100, i] for i in range(1, 6)]
+
+
 def test_fusion(spark):
     rankings = {0: ["a", "b", "a", "c"], 1: ["c", "a"]}
     df = spark.createDataFrame([(r, i, k) for r, ks in rankings.items() for i, k in enumerate(ks)], "ranking int, position int, key string")
