@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,15 +32,17 @@ from quillon.llm.bpe import byte_letters
 from quillon.llm.common import Out, rows, shuffle_partitions, table, written
 
 SIZE, DIMS, BITS, BUCKETS = 1024, 4, 15, 1024
-CACHE_WORDS = 150_000
+
+#: White space as the splitting pattern's \s has it; Python's own class holds four control characters more.
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG = re.compile(_WHITE + "{1000,}")
 
 
 class ByteEncoder:
     """Token ids of a byte-level BPE, as little-endian 16-bit or 32-bit integers.
 
-    The pattern that splits texts before the merges never joins what stands before a space with that space, if at most one
-    space stands there; so a text is cut before each space and the parts' ids are kept. Texts with double spaces or with
-    strings of special tokens are encoded as they are.
+    Strings of special tokens are cut out first. A very long run of white space, which the splitting pattern's engine can't
+    match, is cut as the pattern would cut it: all of the run, but for its last character if more text follows, is one piece.
     """
 
     def __init__(self, path: str):
@@ -52,32 +55,25 @@ class ByteEncoder:
         ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.engine = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.type = "<u2" if max([*ranks.values(), *self.special.values()]) < 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
-    def _raw(self, text: str) -> bytes:
-        return np.array(self.engine.encode_ordinary(text), dtype=self.type).tobytes()
+    def _section(self, text: str) -> Iterator[np.ndarray]:
+        at = 0
+        for m in _LONG.finditer(text):
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            yield self.engine.encode_to_numpy(text[at : m.start()], disallowed_special=())
+            yield np.array(self.engine._encode_single_piece(text[m.start() : end]))
+            at = end
+        yield self.engine.encode_to_numpy(text[at:], disallowed_special=())
 
     def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        if "  " in text or any(s in text for s in self.special):
-            return np.array(self.engine.encode(text, allowed_special="all"), dtype=self.type).tobytes()
-        head, *parts = text.split(" ")
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known, self.known, self.old = {}, {}, known
-            known = self.known
-        out = [self._raw(head)] if head else []
-        found = [known.get(p) for p in parts]
-        if None in found:
-            old, raw = self.old, self._raw
-            for i, p in enumerate(parts):
-                if found[i] is None:
-                    ids = known.get(p)
-                    if ids is None:
-                        ids = known[p] = old.get(p) or raw(" " + p)
-                    found[i] = ids
-        return b"".join(out + found)
+        found: list[np.ndarray] = []
+        for i, part in enumerate(self.cuts.split(text or "") if self.cuts else [text or ""]):
+            if i % 2:
+                found.append(np.array([self.special[part]]))
+            elif part:
+                found.extend(self._section(part))
+        return b"".join(x.astype(self.type).tobytes() for x in found)
 
 
 @functools.lru_cache(maxsize=2)

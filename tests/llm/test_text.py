@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from array import array
 
@@ -237,6 +238,24 @@ def test_packing(spark):
     assert packing.packed(docs.limit(0), path).count() == 0
 
 
+def test_token_ids_of_all_white_space(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, coder, rng = tokenizers.Tokenizer.from_file(path), packing.ByteEncoder(path), random.Random(2)
+    white = [chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    letters = white + [" "] * 20 + [*"ab'sétIL1½²٣,.!-日🙂\u0301<|>", "<|endoftext|>", "'ll", "'ve"]
+    ids = lambda t: np.frombuffer(coder.encode(t), dtype=coder.type).tolist()
+    for long in (packing._LONG.pattern, packing._WHITE + "{3,}"):
+        monkeypatch.setattr(packing, "_LONG", re.compile(long))
+        for _ in range(50_000):
+            t = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 14)))
+            assert ids(t) == lib.encode(t, add_special_tokens=False).ids, repr(t)
+    monkeypatch.undo()
+    for t in (" " * 40_000 + "x", "x" + "  " * 9000, "\u3000 " * 4000 + "<|endoftext|>  "):
+        assert ids(t) == lib.encode(t, add_special_tokens=False).ids
+    assert len(ids("  " * 600_000 + "x")) == 1_200_000
+
+
 def test_hilbert_is_a_curve():
     side = 8
     points = np.array([(a, b, c, d) for a in range(side) for b in range(side) for c in range(side) for d in range(side)])
