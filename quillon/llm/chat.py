@@ -55,7 +55,7 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text)
 
 
-# --- syntax tree -------------------------------------------------------------------------------------------------------
+# syntax tree
 
 
 @dataclass(frozen=True)
@@ -421,6 +421,8 @@ def _closure(nodes: tuple, calls: dict[str, Callable]) -> Callable[[dict, Sink],
         elif isinstance(node, For):
 
             def loop(env, sink, name=node.name, over=node.over, body=_closure(node.body, calls)):
+                if over not in env or isinstance(env[over], (bool, int, float)):
+                    raise TemplateError(f"{over!r} is nothing to loop over")
                 for item, counter in counted(env[over]):
                     body(env | {name: item, "loop": counter}, sink)
 
@@ -457,12 +459,6 @@ def _uses(node, name: str) -> bool:
     return any(_uses(x, name) for x in vars(node).values() if not isinstance(x, (str, int, bool, type(None)))) if hasattr(node, "__dataclass_fields__") else False
 
 
-def _sets(node) -> bool:
-    if isinstance(node, tuple):
-        return any(_sets(x) for x in node)
-    return isinstance(node, Set) or any(_sets(x) for x in (getattr(node, "yes", ()), getattr(node, "no", ()), getattr(node, "body", ())) if x)
-
-
 class Template:
     """render(messages): text and spans; pieces(messages): the same turn by turn."""
 
@@ -496,7 +492,7 @@ class Template:
             yield sink.take()
 
 
-# --- over frames -------------------------------------------------------------------------------------------------------
+# over frames
 
 
 def _by_conversation(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterator[tuple]]]:

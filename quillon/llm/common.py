@@ -9,8 +9,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows in an Arrow batch: whole texts travel in them, so far fewer than Spark's 10,000.
 BATCH_ROWS = 512
@@ -29,12 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a folder of our own only where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -61,8 +65,11 @@ def work_tables() -> list[str]:
 
 
 def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in list(paths):
+    _delete(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), list(paths))
+
+
+def _delete(jvm, conf, paths: list[str]) -> None:
+    for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(conf).delete(at, True)
         if path in _tables:
@@ -71,12 +78,16 @@ def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
 
 @atexit.register
 def _drop_all() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _tables:
-        try:
-            drop_tables(spark, _tables)
-        except Exception:  # noqa: BLE001  the JVM may have gone first
-            pass
+    """Through the JVM, which outlives a stopped session."""
+    context = SparkContext._active_spark_context
+    jvm = context._jvm if context is not None else (SparkContext._gateway.jvm if SparkContext._gateway else None)
+    if jvm is None or not _tables:
+        return
+    try:
+        conf = context._jsc.hadoopConfiguration() if context is not None else jvm.org.apache.hadoop.conf.Configuration()
+        _delete(jvm, conf, list(_tables))
+    except Exception:  # noqa: BLE001  the JVM may have gone first
+        pass
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -125,27 +136,64 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """`name`, lengthened until none of the frames has such a column (Spark's names ignore case by default)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def mapped(df: DataFrame, run, columns: int | None = None) -> DataFrame:
+    """df.mapInArrow(run) with the first `columns` columns (all) as the result, whose names may hold dots: inside they are
+    c0, c1 and so on."""
+    fields = df.schema.fields[:columns]
+    flat = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return flat.mapInArrow(run, StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(fields)])).toDF(*(f.name for f in fields))
+
+
+def set_aside(names: list[str], own: Iterable[str]) -> list[str]:
+    """Names for columns of the input beside result columns `own`: one that clashes is lengthened by "_" until it is free."""
+    taken = {x.lower() for x in (*own, *names)}
+    clash, out = {x.lower() for x in own}, []
+    for c in names:
+        if c.lower() in clash:
+            while c.lower() in taken:
+                c += "_"
+            taken.add(c.lower())
+        out.append(c)
+    return out
+
+
 def with_key(docs: DataFrame, text: str = "text", key: str = "_key") -> DataFrame:
     return keyed(docs, text, key)[0]
 
 
 def keyed(docs: DataFrame, text: str = "text", key: str = "_key") -> tuple[DataFrame, bool]:
-    """docs with a unique-or-equal, never null, order-preserving long key; and whether that is doc_id itself.
+    """docs with a unique-or-equal, never null, order-preserving long key, in a column `key` that docs hasn't (see free());
+    and whether that is doc_id itself.
 
     Usually that is doc_id itself. Only where doc_ids are null or repeated (one look at that column decides), keys are
     numbered over the distinct (doc_id, text): null ids first, equal ids by the text's SHA-256. Rows equal in both share
     a key.
     """
+    if key != free(key, docs):
+        raise ValueError(f"there is a column {key} already")
     ids = docs.select("doc_id")
-    odd = ids.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1)
+    odd = ids.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").limit(1)
     if not odd.take(1):
         return docs.withColumn(key, F.col("doc_id").cast("long")), True
+    digest, same, name, number = (free(c, docs) for c in ("_mark", "_same", "_id", "_number"))
     mark = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     numbered = written(
-        docs.select("doc_id", mark.alias("_mark")).distinct().sort("doc_id", "_mark").withColumn(key, F.monotonically_increasing_id()),
+        docs.select("doc_id", mark.alias(digest)).distinct().sort("doc_id", digest).withColumn(number, F.monotonically_increasing_id()),
         "keys",
-    ).withColumnRenamed("doc_id", "_id")
-    marked = docs.withColumn("_mark", mark)
-    return marked.join(numbered, marked["doc_id"].eqNullSafe(numbered["_id"]) & (marked["_mark"] == numbered["_mark"])).select(
-        *(marked[c] for c in docs.columns), numbered[key]
-    ), False
+    ).withColumnRenamed("doc_id", name)
+    marked = docs.withColumn(digest, mark)
+    found = marked.join(numbered.withColumnRenamed(digest, same), F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(digest) == F.col(same)))
+    return found.select(*(col(c) for c in docs.columns), F.col(number).alias(key)), False

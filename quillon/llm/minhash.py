@@ -16,7 +16,8 @@ With r = 5 rows and b = 40 bands, a pair at the threshold 0.85 shares no bucket
 
 Defined results: null or empty texts, or texts without words, have the empty set and are linked with nothing; texts of
 fewer words than a shingle are one shingle; rows repeated in full are linked; rows with null or repeated doc_ids are told
-apart by their text (common.with_key), and a null doc_id is smaller than any other; extra columns aren't read.
+apart by their text (common.with_key), and a null doc_id is smaller than any other; extra columns, whatever their names,
+pass through deduplicated() and aren't read otherwise; very long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Out, rows, shared_dir, shuffle_partitions, table, with_key, written
+from quillon.llm.common import Out, col, free, rows, shared_dir, shuffle_partitions, table, with_key, written
 
 CACHE_WORDS = 150_000
 #: Members that stream past one copy of a centre.
@@ -271,14 +272,14 @@ def classified(docs: DataFrame, opts: Options = Options()) -> DataFrame:
 
 def deduplicated(docs: DataFrame, opts: Options = Options()) -> DataFrame:
     """docs with one row of each component: the one with the smallest key; of rows repeated in full, one."""
-    keyed = with_key(docs)
-    found = classified(keyed, opts)
-    kept = found.filter("_key = component").select("_key").distinct()
-    return keyed.join(kept.hint("shuffle_hash"), "_key").dropDuplicates(["_key"]).select(*docs.columns) if _repeats(keyed) else keyed.join(kept.hint("shuffle_hash"), "_key", "left_semi").select(*docs.columns)
-
-
-def _repeats(keyed: DataFrame) -> bool:
-    return bool(keyed.groupBy("_key").count().filter("count > 1").limit(1).take(1))
+    key = free("_key", docs)
+    given = with_key(docs, key=key)
+    found = classified(given.select(F.col(key).alias("_key"), "text"), opts)
+    kept = found.filter("_key = component").select(F.col("_key").alias(key)).distinct().hint("shuffle_hash")
+    names = [col(c) for c in docs.columns]
+    if given.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").limit(1).take(1):
+        return given.join(kept, key).dropDuplicates([key]).select(*names)
+    return given.join(kept, key, "left_semi").select(*names)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Out, rows, shared_dir, table, written
+from quillon.llm.common import Out, col, mapped, rows, set_aside, shared_dir, table, written
 
 COMMON = {
     "en": "the of and to in a is that it for on with as was be by this are at or an he not from have".split(),
@@ -163,6 +163,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[int], list[
     return len(words), word_chars, n_symbols, dup, repeated(ids), chars.tolist(), common
 
 
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
 _MEASURED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, common array<long>"
 
 
@@ -306,9 +307,13 @@ def _judged(counted: DataFrame, keep: list[str], limits: Limits, held: Held, res
 
 
 def judged(docs: DataFrame, keep: list[str], limits: Limits = Limits(), held: int = HELD) -> DataFrame:
-    """The columns `keep` of docs with the base counts, base_failed, char_distance, word_distance and kept."""
-    counted = written(measured(docs, keep), "quality")
-    return _judged(counted, keep, limits, *references(counted, held))
+    """The columns `keep` of docs with the base counts, base_failed, char_distance, word_distance and kept. A column of docs
+    that is named like one of these comes back with its name lengthened by "_" (common.set_aside)."""
+    names = [f"_{i}" for i in range(len(keep))]
+    flat = docs.select(*(col(c).alias(x) for c, x in zip(keep, names, strict=True)), "lang", "text")
+    counted = written(measured(flat, names), "quality")
+    found = _judged(counted, names, limits, *references(counted, held))
+    return found.select(*(F.col(x).alias(c) for c, x in zip(set_aside(keep, RESULTS), names, strict=True)), *RESULTS)
 
 
 def filtered(docs: DataFrame, limits: Limits = Limits(), held: int = HELD) -> DataFrame:
@@ -317,7 +322,7 @@ def filtered(docs: DataFrame, limits: Limits = Limits(), held: int = HELD) -> Da
     most, rest = references(measured(docs, []), held)
     if rest is not None:
         names = [f"_{i}" for i in range(len(docs.columns))]
-        flat = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in zip(docs.columns, names, strict=True)), "lang", "text")
+        flat = docs.select(*(col(c).alias(x) for c, x in zip(docs.columns, names, strict=True)), "lang", "text")
         found = _judged(written(measured(flat, names), "quality"), names, limits, most, rest).filter("kept")
         return found.select(*(F.col(x).alias(c) for c, x in zip(docs.columns, names, strict=True)))
     at, lang = docs.columns.index("text"), docs.columns.index("lang")
@@ -335,7 +340,7 @@ def filtered(docs: DataFrame, limits: Limits = Limits(), held: int = HELD) -> Da
                 keep.append(ok and (n < limits.min_common_words or jensen_shannon(common, q) <= limits.of_words(n)))
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ settled to one a task beforehand.
 
 Defined results: a null text is empty; texts shorter than `length` keep all bytes; strings never span documents; rows with
 null or repeated doc_ids are ordered by common.with_key(), rows repeated in full are one document; very long texts are read
-in overlapping parts; extra columns pass through.
+in overlapping parts; extra columns, whatever their names, pass through deduplicated(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Out, keyed, rows, shuffle_partitions, table, with_key, written
+from quillon.llm.common import Out, col, free, keyed, mapped, rows, shuffle_partitions, table, with_key, written
 
 LENGTH, GRAM = 100, 32
 HOT = 4096
@@ -248,7 +248,7 @@ def _repeated(sent: DataFrame, hot_from: int) -> DataFrame:
     return sent.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, _REPEATED)
 
 
-# --- sorted runs and their merge ---------------------------------------------------------------------------------------
+# sorted runs and their merge
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
@@ -513,15 +513,11 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]], length: int = LENGTH)
     return kept, len(data) - len(kept), runs
 
 
-def _inputs(docs: DataFrame) -> DataFrame:
-    return docs.filter("_key is not null")
-
-
 def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256. Both joins with the texts take the same columns by the same key, so
-    their one exchange is written once."""
+    their one exchange is written once; the filter, which drops nothing, makes their inputs equal plans."""
     given, plain = keyed(docs.select("doc_id", "text"))
-    texts = _inputs(given.select("_key", F.coalesce("text", F.lit("")).cast("binary").alias("data")))
+    texts = given.filter("_key is not null").select("_key", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
     spans = repeated_strings(texts, length)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
@@ -544,11 +540,11 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated bytes of text removed (a character of which some bytes are removed goes whole), n_chars, where
     it is a column, of what is left."""
-    given = _inputs(with_key(docs))
-    spans = repeated_strings(given.select("_key", F.coalesce("text", F.lit("")).cast("binary").alias("data")), length)
+    key, found = free("_key", docs), free("_spans", docs)
+    given = with_key(docs, key=key).filter(F.col(key).isNotNull())
+    spans = repeated_strings(given.select(F.col(key).alias("_key"), F.coalesce("text", F.lit("")).cast("binary").alias("data")), length)
     names = docs.columns
     text, n_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-    schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -561,10 +557,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns[text] = pa.array(texts, columns[text].type)
             if n_chars is not None:
                 columns[n_chars] = pa.array([None if t is None else len(t) for t in texts], columns[n_chars].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[: len(names)])
 
-    joined = given.join(spans.hint("shuffle_hash"), "_key", "left").select(*(given[c] for c in names), "spans")
-    return joined.mapInArrow(run, schema)
+    joined = given.join(spans.select(F.col("_key").alias(key), F.col("spans").alias(found)).hint("shuffle_hash"), key, "left")
+    return mapped(joined.select(*(col(c) for c in names), found), run, len(names))
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

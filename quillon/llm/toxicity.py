@@ -3,9 +3,12 @@
 Features are the lower-cased words of a text (without punctuation at their ends) and their prefixes of 4, 5 and 6 letters,
 each counted once a text. On a bounded sample of labelled rows (`max_toxic` and `max_clean` rows, those with the smallest
 hash of doc_id) the features associated with the label are chosen by their two-proportion z score, at most `max_features`,
-and a logistic regression is fitted. Each labelled text whose sentences name a group comes with its counterfactual: the
-text with those identity terms swapped for their partners. The loss adds `swap_weight` times the squared change of the
-logit between the two, so a group's name by itself can't move a score.
+and beside them, always, those of the identity terms that occur in the sample; a logistic regression is fitted. Each
+labelled text whose sentences name a group comes with its counterfactuals: the text with those identity terms swapped for
+their partners, and swapped for a neutral word (people, Menschen, gens, gente). The loss adds `swap_weight` times the mean
+squared change of the logit between a text and its counterfactuals. The partners tie the weights of groups to each other,
+the neutral word ties them to no group at all, so that naming a group by itself can't move a score, however unevenly the
+labels are spread over groups. A swap exchanges all forms of a term, its prefixes too, so it is their sum that is tied.
 
 The sample and the chosen features are bounded by those parameters, so the model is small and is broadcast with the
 closure that scores every whole text where it is read; nothing is shuffled.
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Out, rows, table, written
+from quillon.llm.common import Out, mapped, rows, table, written
 
 #: Identity terms and what each is swapped for.
 SWAPS = {
@@ -39,6 +42,11 @@ SWAPS = {
     )
     for a, b in (pair.split(), pair.split()[::-1])
 }
+#: The word of each language that stands for no group.
+_NEUTRAL = {"frauen": "menschen", "männer": "menschen", "muslime": "menschen", "christen": "menschen", "ausländer": "menschen", "deutsche": "menschen", "juden": "menschen"}
+_NEUTRAL |= dict.fromkeys(("femmes", "hommes", "musulmans", "chrétiens", "juifs", "hindous", "étrangers", "français"), "gens")
+_NEUTRAL |= dict.fromkeys(("mujeres", "hombres", "musulmanes", "cristianos", "judíos", "hindúes", "extranjeros", "españoles"), "gente")
+NEUTRAL = {t: _NEUTRAL.get(t, "people") for t in SWAPS}
 _MARKS = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»¿¡…“”„"
 _BUCKETS = 1 << 22
 CACHE_WORDS = 150_000
@@ -73,16 +81,25 @@ _SENTENCE = re.compile(r"(?<=[.!?\n])\s+")
 _WORD = re.compile(r"\w+")
 
 
-def swapped(text: str) -> str | None:
+def swapped(text: str, swaps: dict[str, str] = SWAPS) -> str | None:
     """The text with identity terms swapped in each sentence that has one; None if none has."""
     low = text.lower()
-    if not any(t in low for t in SWAPS):
+    if not any(t in low for t in swaps):
         return None
-    parts = [_WORD.sub(lambda m: SWAPS.get(m[0], m[0]), s) for s in _SENTENCE.split(low)]
+    parts = [_WORD.sub(lambda m: swaps.get(m[0], m[0]), s) for s in _SENTENCE.split(low)]
     out = " ".join(parts)
     return None if out.split() == low.split() else out
 
 
+def counterfactuals(text: str) -> list[str]:
+    """The text with identity terms swapped for their partners, and for a neutral word; nothing if it has none."""
+    return [x for x in (swapped(text), swapped(text, NEUTRAL)) if x is not None]
+
+
+def identity_features() -> set[int]:
+    return {f for t in (*SWAPS, *NEUTRAL.values()) for f in features_of(t)}
+
+
 @dataclass
 class Model:
     weights: dict[int, float]
@@ -102,23 +119,25 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+_ROWS = pa.schema([("toxic", pa.int32()), ("found", pa.list_(pa.int32())), ("others", pa.list_(pa.list_(pa.int32())))])
+_DDL = "toxic int, found array<int>, others array<array<int>>"
+
+
 def _sample(docs: DataFrame, labels: DataFrame, opts: Options) -> DataFrame:
-    """toxic, features, swapped features (null without identity terms) of the bounded sample. Bounded, so broadcast."""
+    """toxic, features, features of each counterfactual of the bounded sample. Bounded, so broadcast."""
     known = learnable(labels).withColumn("_h", F.xxhash64("doc_id"))
     picked = known.filter("toxic = 1").orderBy("_h", "doc_id").limit(opts.max_toxic).unionByName(known.filter("toxic = 0").orderBy("_h", "doc_id").limit(opts.max_clean)).select(F.col("doc_id").alias("_id"), "toxic")
-    schema = pa.schema([("toxic", pa.int32()), ("found", pa.list_(pa.int32())), ("other", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(schema, rows=256)
+        out = Out(_ROWS, rows=256)
         for toxic, text in rows(batches):
             text = text or ""
-            other = swapped(text)
-            if out.add(toxic, sorted(features(text)), None if other is None else sorted(features(other))):
+            if out.add(toxic, sorted(features(text)), [sorted(features(x)) for x in counterfactuals(text)]):
                 yield from out.flush()
         yield from out.flush()
 
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(F.col("toxic").cast("int"), "text")
-    return written(joined.mapInArrow(run, "toxic int, found array<int>, other array<int>"), "toxicity")
+    return written(joined.mapInArrow(run, _DDL), "toxicity")
 
 
 def fit(docs: DataFrame, labels: DataFrame, opts: Options = Options()) -> Model:
@@ -130,37 +149,33 @@ def fit(docs: DataFrame, labels: DataFrame, opts: Options = Options()) -> Model:
         return Model({}, float(np.log(prior / (1 - prior))))
     rate = (F.col("p") / pos, F.col("q") / neg)
     pooled = (F.col("p") + F.col("q") + 1) / (pos + neg + 2)
-    chosen = (
+    counted = (
         sample.select("toxic", F.explode("found").alias("f"))
         .groupBy("f")
         .agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("q"))
         .filter(F.col("p") + F.col("q") >= opts.min_rows)
         .withColumn("z", F.abs(rate[0] - rate[1]) / F.sqrt(pooled * (1 - pooled) * (1 / pos + 1 / neg)))
-        .filter(F.col("z") >= opts.min_z)
-        .orderBy(F.desc("z"), "f")
-        .limit(opts.max_features)
-        .select("f")
-        .collect()
     )
+    own = sorted(identity_features())
+    chosen = counted.filter(F.col("z") >= opts.min_z).orderBy(F.desc("z"), "f").limit(opts.max_features).select("f").unionByName(counted.filter(F.col("f").isin(own)).select("f")).distinct().collect()
     names = sorted(r["f"] for r in chosen)
     if not names:
         return Model({}, float(np.log(prior / (1 - prior))))
     place = {f: i for i, f in enumerate(names)}
-    schema = pa.schema([("toxic", pa.int32()), ("found", pa.list_(pa.int32())), ("other", pa.list_(pa.int32()))])
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Out(schema)
-        for toxic, found, other in rows(batches):
-            if out.add(toxic, [place[f] for f in found if f in place], None if other is None else [place[f] for f in other if f in place]):
+        out = Out(_ROWS)
+        for toxic, found, others in rows(batches):
+            if out.add(toxic, [place[f] for f in found if f in place], [[place[f] for f in x if f in place] for x in others]):
                 yield from out.flush()
         yield from out.flush()
 
-    data = sample.mapInArrow(narrow, "toxic int, found array<int>, other array<int>").toArrow()
+    data = sample.mapInArrow(narrow, _DDL).toArrow()
     y = data["toxic"].to_numpy().astype(float)
-    found, other = data["found"].to_pylist(), data["other"].to_pylist()
-    order = sorted(range(len(y)), key=lambda i: (y[i], found[i], other[i] or []))
-    y, found, other = y[order], [found[i] for i in order], [other[i] for i in order]
-    weights, bias = _logistic(y, found, other, len(names), prior, opts)
+    found, others = data["found"].to_pylist(), data["others"].to_pylist()
+    order = sorted(range(len(y)), key=lambda i: (y[i], found[i], others[i]))
+    y, found, others = y[order], [found[i] for i in order], [others[i] for i in order]
+    weights, bias = _logistic(y, found, others, len(names), prior, opts)
     return Model({f: float(w) for f, w in zip(names, weights, strict=True) if w}, bias)
 
 
@@ -179,11 +194,11 @@ class _Sparse:
         return np.bincount(self.col, weights=g[self.row], minlength=self.width)
 
 
-def _logistic(y, found, other, width, prior, opts: Options) -> tuple[np.ndarray, float]:
+def _logistic(y, found, others, width, prior, opts: Options) -> tuple[np.ndarray, float]:
     """Adam on the mean log loss, the ridge and the mean squared change of the logit under swaps."""
     x = _Sparse(found, width)
-    pairs = [i for i, o in enumerate(other) if o is not None]
-    a, b = _Sparse([found[i] for i in pairs], width), _Sparse([other[i] for i in pairs], width)
+    pairs = [(i, o) for i, own in enumerate(others) for o in own]
+    a, b = _Sparse([found[i] for i, _ in pairs], width), _Sparse([o for _, o in pairs], width)
     w, bias = np.zeros(width), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, opts.steps + 1):
@@ -241,7 +256,7 @@ def filtered(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array([score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,14 +3,17 @@
 Level 1 is a Bloom filter of the listed keys; level 2 encodes the keys of the corpus that level 1 takes wrongly for
 listed; level 3 the listed keys that level 2 takes wrongly, and so on until a level has no false positives. Over the
 corpus's complete key universe the cascade's answer is then exact, and judging a URL needs no join: the words of each
-level are a literal in the plan. Level 1 gets log2(universe / listed) * 1.44 bits a key, so the number of false positives
-it leaves is near the number of listed keys and the cascade's size follows the list, not the corpus.
+level are an array in the plan. Level 1 gets log2(universe / listed) * 1.44 bits a key (at least 8), so the number of false
+positives it leaves is near the number of listed keys: the cascade grows with the list, and with the corpus's logarithm.
 
 A key is `host || path prefix` of a rule. A rule fits its host and all subdomains if the path starts with the rule's path;
-the longest rule wins, at equal length that with the longer host. URLs that no rule fits get the verdict `default`.
+the longest rule wins, at equal length that with the longer host. URLs that no rule fits get the verdict `default`. Which
+verdict a listed key has is told by one more cascade for each verdict but the most frequent one, whose universe is the list.
+The way is the same for lists of every length; a list that the driver holds, as rules, has a cascade that it can hold.
 
-Defined results: a null URL, or one without `://`, has empty host and path; extra columns pass through; an empty rule list
-gives `default` everywhere; rules repeated with one verdict count once, with two verdicts they are refused.
+Defined results: a null URL, or one without `://`, has empty host and path; extra columns pass through, those named like a
+result column with their names lengthened by "_"; an empty rule list gives `default` everywhere; rules repeated with one
+verdict count once, with two verdicts they are refused; URLs repeated are judged alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +25,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import lower_ascii, shared_dir, table
+from quillon.llm.common import col, free, lower_ascii, set_aside, shared_dir, table
 
-#: A list beyond this is judged by joins (`judge_by_join`): literals of its cascade would be too large for a plan.
-MAX_LISTED = 200_000
+RESULTS = ("host", "path", "rule", "verdict")
 
 
 @dataclass(frozen=True)
@@ -91,16 +93,23 @@ def parts(url: Column) -> tuple[Column, Column]:
     return lower_ascii(host), F.when(F.startswith(tail, F.lit("/")), F.regexp_extract(tail, r"^([^?#]*)", 1)).otherwise("")
 
 
-def candidates(host: Column, path: Column, rules: list[Rule]) -> list[tuple[int, int, Column]]:
-    """(length of the path, labels of the host, key or null) for each shape that a rule has, the best shape first."""
-    out = []
-    for labels, length in sorted({(r.host.count(".") + 1, len(r.path)) for r in rules}, reverse=True):
-        found = F.size(F.split(host, r"\.")) >= labels
-        if length:
-            found = found & (F.length(path) >= length)
-        key = F.concat(F.substring_index(host, ".", -labels), F.lit("\0"), F.substring(path, 1, length))
-        out.append((length, labels, F.when(found, key)))
-    return out
+def _last_labels(host: Column, n: Column) -> Column:
+    """The last n labels of a host; n varies by row, which substring_index's own wrapper doesn't take."""
+    return F.array_join(F.slice(F.split(host, r"\."), -n, n), ".")
+
+
+def candidates(host: Column, path: Column, rules: list[Rule]) -> Column:
+    """An array of structs (n: length of the key, labels of its host, key), one for each shape of a rule that the URL is long
+    enough for. The shapes are an array in the plan, whatever their number."""
+    shapes = sorted({(len(r.path), r.host.count(".") + 1) for r in rules})
+    given = F.from_json(F.lit(json.dumps([{"length": a, "labels": b} for a, b in shapes])), "array<struct<length:int,labels:int>>")
+    long = F.filter(given, lambda x: (F.size(F.split(host, r"\.")) >= x["labels"]) & (F.length(path) >= x["length"]))
+
+    def made(x: Column) -> Column:
+        key = F.concat(_last_labels(host, x["labels"]), F.lit("\0"), F.substring(path, F.lit(1), x["length"]))
+        return F.struct((F.length(key) - 1).alias("n"), x["labels"].alias("labels"), key.alias("key"))
+
+    return F.transform(long, made)
 
 
 class Cascade:
@@ -128,7 +137,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: float |
         return Cascade([])
     others = universe.select("key").filter(F.col("key").isNotNull()).distinct()
     n_others = others.count()
-    first = bits_per_key or min(24.0, max(8.0, 1.44 * math.log2(max(2, n_others / n_listed))))
+    first = bits_per_key or max(8.0, 1.44 * math.log2(max(2, n_others / n_listed)))
     levels = [_level(listed, n_listed, first, 0)]
     wrong = others.filter(levels[0].holds(F.col("key"))).join(listed, "key", "left_anti").checkpoint()
     right, n = listed, wrong.count()
@@ -149,53 +158,42 @@ def _checked(rules: list[Rule]) -> list[Rule]:
     return list(kept.values())
 
 
-def _best(df: DataFrame, rules: list[Rule], taken) -> Column:
-    """The longest candidate that is taken."""
-    found = F.filter(F.array(*(F.struct((F.length(k) - 1).alias("n"), F.lit(labels).alias("labels"), k.alias("key")) for _, labels, k in candidates(F.col("_host"), F.col("_path"), rules))), lambda x: x["key"].isNotNull() & taken(x["key"]))
-    return F.array_max(found)["key"]
+def _verdicts(spark: SparkSession, rules: list[Rule], bits_per_key: float | None) -> list[tuple[str, Cascade]]:
+    """The most frequent verdict with no cascade, and each other with a cascade of its keys over all rules' keys."""
+    keys: dict[str, list[str]] = {}
+    for r in rules:
+        keys.setdefault(r.verdict, []).append(f"{r.host}\0{r.path}")
+    first, *others = sorted(keys, key=lambda v: (-len(keys[v]), v))
+    frame = spark.createDataFrame([(k, v) for v in keys for k in keys[v]], "key string, verdict string")
+    return [(first, Cascade([]))] + [(v, build_cascade(frame.filter(F.col("verdict") == v), frame, bits_per_key)) for v in others]
 
 
 def judge(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow", bits_per_key: float | None = None) -> DataFrame:
     """df with host, path, rule and verdict."""
     rules = _checked(rules)
-    host, path = parts(F.col(url))
-    split = df.withColumns({"_host": host, "_path": path})
-    if not rules:
-        best: Column = F.lit(None).cast("string")
-    elif len(rules) > MAX_LISTED:
-        return judge_by_join(df, rules, url, default)
-    else:
+    h, p, best = free("_host", df), free("_path", df), free("_best", df)
+    host, path = parts(col(url))
+    split = df.withColumns({h: host, p: path})
+    taken: Column = F.lit(None).cast("string")
+    verdict: Column = F.lit(default)
+    if rules:
         spark = df.sparkSession
         shared_dir(spark)
         listed = spark.createDataFrame([(f"{r.host}\0{r.path}",) for r in rules], "key string")
-        keys = F.array(*(k for *_, k in candidates(F.col("_host"), F.col("_path"), rules)))
-        cascade = build_cascade(listed, split.select(F.explode(keys).alias("key")), bits_per_key)
-        best = _best(split, rules, cascade.listed)
-    verdicts: Column = F.lit(default)
-    for r in rules:
-        verdicts = F.when(F.col("_best") == f"{r.host}\0{r.path}", r.verdict).otherwise(verdicts)
-    if len(rules) > 64:
-        pairs = F.from_json(F.lit(json.dumps({f"{r.host}\0{r.path}": r.verdict for r in rules})), "map<string,string>")
-        verdicts = F.coalesce(F.element_at(pairs, F.col("_best")), F.lit(default))
-    return split.withColumn("_best", best).select(
-        *(c for c in df.columns if c not in ("host", "path", "rule", "verdict")),
-        F.col("_host").alias("host"),
-        F.col("_path").alias("path"),
-        F.translate("_best", "\0", "").alias("rule"),
-        verdicts.alias("verdict"),
-    )
-
-
-def judge_by_join(df: DataFrame, rules: list[Rule], url: str = "url", default: str = "allow") -> DataFrame:
-    """The way for lists too large for a literal: candidates joined with the rules, the longest kept by an aggregate."""
-    shared_dir(df.sparkSession)
-    host, path = parts(F.col(url))
-    split = df.withColumns({"_host": host, "_path": path, "_row": F.monotonically_increasing_id()}).checkpoint()
-    options = F.array(*(F.struct((F.length(k) - 1).alias("n"), F.lit(labels).alias("labels"), k.alias("key")) for _, labels, k in candidates(F.col("_host"), F.col("_path"), rules)))
-    listed = df.sparkSession.createDataFrame([(f"{r.host}\0{r.path}", r.verdict) for r in rules], "key string, _verdict string")
-    best = split.select("_row", F.explode(options).alias("o")).select("_row", "o.*").join(listed, "key").groupBy("_row").agg(F.max(F.struct("n", "labels", "key", "_verdict")).alias("b"))
-    return split.join(best, "_row", "left").select(
-        *(c for c in df.columns if c not in ("host", "path", "rule", "verdict")), F.col("_host").alias("host"), F.col("_path").alias("path"), F.translate("b.key", "\0", "").alias("rule"), F.coalesce("b._verdict", F.lit(default)).alias("verdict")
+        found = candidates(F.col(h), F.col(p), rules)
+        cascade = build_cascade(listed, split.select(F.explode(found["key"]).alias("key")), bits_per_key)
+        taken = F.array_max(F.filter(found, lambda x: cascade.listed(x["key"])))["key"]
+        (most, _), *others = _verdicts(spark, rules, bits_per_key)
+        verdict = F.lit(most)
+        for v, own in others:
+            verdict = F.when(own.listed(F.col(best)), v).otherwise(verdict)
+        verdict = F.when(F.col(best).isNull(), default).otherwise(verdict)
+    return split.withColumn(best, taken).select(
+        *(col(c).alias(x) for c, x in zip(df.columns, set_aside(df.columns, RESULTS), strict=True)),
+        F.col(h).alias("host"),
+        F.col(p).alias("path"),
+        F.translate(best, "\0", "").alias("rule"),
+        verdict.alias("verdict"),
     )
 
 

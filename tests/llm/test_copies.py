@@ -118,6 +118,44 @@ def test_merge_equals_sorting():
         assert h == n
 
 
+CLASH = ["_key", "_key_", "spans", "_spans", "_mark", "_same", "_id", "_number", "_host", "host", "n_words", "lang2", "rep", "bucket", "digest", "kept", "_0", "_1", "a.b", "places", "data"]
+
+
+@pytest.mark.parametrize("ids", ["plain", "odd"])
+def test_stages_with_clashing_columns_and_odd_rows(spark, ids):
+    """Every filtering stage passes every column on, whatever its name, with null, empty, repeated and very long texts."""
+    from quillon.llm import quality, toxicity
+
+    rng = random.Random(12)
+    prose = " ".join(rng.choice(quality.COMMON["en"] + ["house", "river", "stone"]) for _ in range(60))
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(150_000))
+    texts = [prose, prose, prose + " one more word", None, "", long, " ".join(rng.choice(quality.COMMON["en"]) for _ in range(90))]
+    rows = [((i if ids == "plain" else (None, 1, 1, 2, None, 3, 3)[i]), t, "en" if i else None, i) for i, t in enumerate(texts)]
+    if ids == "odd":
+        rows.append(rows[0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, at int")
+    for c in CLASH:
+        docs = docs.selectExpr("*", f"concat('{c}', at) AS `{c}`")
+    docs = docs.repartition(3)
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+
+    def check(out, at):
+        got = out.collect()
+        assert out.columns == docs.columns and sorted(r["at"] for r in got) == at
+        assert all(r[c] == f"{c}{r['at']}" for r in got for c in CLASH)
+
+    again = [0] if ids == "odd" else []
+    check(minhash.deduplicated(docs), [0, 3, 4, 5, 6] if ids == "plain" else [0, 3, 4, 5, 6])
+    check(suffix.deduplicated(docs), sorted(list(range(7)) + again))
+    check(toxicity.filtered(docs, toxicity.fit(docs, labels), 1.1), sorted(list(range(7)) + again))
+    check(quality.filtered(docs, quality.Limits(words=2, chars=2, words_base=2)), sorted([0, 1, 2, 5, 6] + again))
+    judged = quality.judged(docs, [c for c in docs.columns if c != "text"], quality.Limits(words=2, chars=2, words_base=2))
+    assert "n_words_" in judged.columns and judged.filter("kept").select("at").distinct().count() == 5 and judged.filter("n_words_ <> concat('n_words', at)").count() == 0
+    for f in (minhash.deduplicated, suffix.deduplicated, quality.filtered):
+        none = f(docs.limit(0))
+        assert none.columns == docs.columns and none.count() == 0
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -287,14 +287,40 @@ def test_toxicity_learns_and_ignores_groups(spark):
     got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
     assert sum((got[i] >= 0.3) == t for i, t in enumerate(toxic)) >= 396
     assert toxicity.filtered(docs, model, 0.3).columns == docs.columns
-    plain = toxicity.fit(docs, labels, toxicity.Options(swap_weight=0.0))
-    assert abs(score("women river stone") - score("river stone")) <= abs(toxicity.Scorer(plain)("women river stone") - toxicity.Scorer(plain)("river stone")) + 0.05
     for some in (labels.limit(0), labels.filter("toxic = 1")):
         flat = toxicity.fit(docs, some)
         assert toxicity.Scorer(flat)("scumbag") == toxicity.Scorer(flat)("") and 0 < toxicity.Scorer(flat)("") <= 1
     assert toxicity.swapped("Women walk. Stones fall.") == "men walk. stones fall." and toxicity.swapped("nothing here") is None
 
 
+def test_counterfactual_penalty_acts(spark):
+    """Labels follow group names in part: without the penalty neutral mentions are called toxic, with it they aren't."""
+    rng = random.Random(4)
+    words, groups = ["river", "stone", "house", "table", "green", "walks", "and", "near"], ["women", "muslims", "immigrants", "jewish"]
+    texts, toxic = [], []
+    for i in range(1200):
+        bad = i % 4 == 0
+        w = [rng.choice(words) for _ in range(20)]
+        if bad and rng.random() < 0.7:
+            w[3] = rng.choice(["idiotic", "scumbag"])
+        if rng.random() < (0.9 if bad else 0.05):
+            w[9] = rng.choice(groups)
+        texts.append(" ".join(w) + ".")
+        toxic.append(int(bad))
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    plain, fair = (toxicity.Scorer(toxicity.fit(docs, labels, toxicity.Options(swap_weight=w))) for w in (0.0, 1.0))
+
+    def change(score):
+        return np.mean([abs(score(t) - score(c)) for t in texts for c in toxicity.counterfactuals(t)])
+
+    assert change(plain) > 0.2 and change(fair) < 0.05 * change(plain)
+    neutral = [f"the {g} walks near green river {w}" for g in groups for w in words]
+    assert sum(plain(t) >= 0.3 for t in neutral) > 0.9 * len(neutral) and sum(fair(t) >= 0.3 for t in neutral) < 0.1 * len(neutral)
+    slurs = [f"the {w} scumbag walks near {x}" for w in words for x in words]
+    assert sum(fair(t) >= 0.3 for t in slurs) > 0.95 * len(slurs)
+
+
 # URLs
 
 
@@ -320,9 +346,14 @@ def test_url_verdicts(spark, bits):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' AS host", "1 AS word")
     rules = urlfilter.RULES + [urlfilter.Rule("x.com", "", "block")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge(pages, rules, default="block", bits_per_key=bits).collect()}
-    joined = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urlfilter.judge_by_join(pages, rules, default="block").collect()}
     want = {i: brute_judge(u, rules, "block") for i, u in enumerate(urls)}
-    assert got == want and joined == want
+    assert got == want
+    many = rules + [urlfilter.Rule(f"h{i}.{'x.' * (i % 7)}net", "/" + "p" * (i % 40), ("allow", "block", "review")[i % 3]) for i in range(600)]
+    more = spark.createDataFrame([(i, f"http://s.{r.host}{r.path}q") for i, r in enumerate(many)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlfilter.judge(more, many, bits_per_key=bits).collect()}
+    assert got == {i: brute_judge(f"http://s.{r.host}{r.path}q", many, "allow")[2:] for i, r in enumerate(many)}
+    clash = urlfilter.judge(pages.selectExpr("*", "1 AS _host", "2 AS _best", "'y' AS Rule", "'z' AS host_"), rules)
+    assert clash.columns == ["page_id", "url", "host__", "word", "_host", "_best", "Rule_", "host_", "host", "path", "rule", "verdict"] and clash.filter("host__ <> 'x' OR _host <> 1 OR Rule_ <> 'y'").count() == 0
     assert {r["verdict"] for r in urlfilter.judge(pages, []).collect()} == {"allow"}
     assert urlfilter.judge(pages.limit(0), rules).count() == 0
     with pytest.raises(ValueError):
