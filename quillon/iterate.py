@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,29 +18,35 @@ from quillon import errors
 _kept: list[str] = []
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _delete(jvm, conf, path: str) -> None:
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
 
 
 @atexit.register
 def _delete_all() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None:
-        try:
-            for path in _kept:
-                _delete(spark, path)
-        except Exception:  # noqa: BLE001  the JVM may have gone first
-            pass
+    """Through the JVM, which outlives a stopped session."""
+    context = SparkContext._active_spark_context
+    jvm = context._jvm if context is not None else (SparkContext._gateway.jvm if SparkContext._gateway else None)
+    if jvm is None:
+        return
+    try:
+        conf = context._jsc.hadoopConfiguration() if context is not None else jvm.org.apache.hadoop.conf.Configuration()
+        for path in _kept:
+            _delete(jvm, conf, path)
+    except Exception:  # noqa: BLE001  the JVM may have gone first
+        pass
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """spark.checkpoint.dir; a folder of our own only where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not found and held.isDefined():
         found = held.get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillon-steps-")
     if not held.isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -84,5 +91,5 @@ class Steps:
         _kept.append(path)
         while len(self.paths) > self.depth:
             _kept.remove(self.paths[0])
-            _delete(self.spark, self.paths.pop(0))
+            _delete(self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), self.paths.pop(0))
         return self.spark.read.schema(df.schema).parquet(path)
