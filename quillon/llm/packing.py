@@ -32,6 +32,8 @@ from quillon.llm.bpe import byte_letters
 from quillon.llm.common import Out, rows, shuffle_partitions, table, written
 
 SIZE, DIMS, BITS, BUCKETS = 1024, 4, 15, 1024
+#: Ids in a range of the curve, at least where there are more of them than Spark's shuffle partitions take: about 40 MB.
+RANGE_IDS = 20_000_000
 
 #: White space as the splitting pattern's \s has it; Python's own class holds four control characters more.
 _WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -210,7 +212,9 @@ def packed(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
                 yield from out.flush()
         yield from out.flush()
 
-    order = coded.withColumn("salt", F.xxhash64("doc_id")).repartitionByRange(shuffle_partitions(spark), "key", "salt").sortWithinPartitions("key", "salt", "doc_id", "ids")
+    total = coded.agg(F.sum("n_ids")).first()[0] or 0
+    ranges = max(shuffle_partitions(spark), total // RANGE_IDS)
+    order = coded.withColumn("salt", F.xxhash64("doc_id")).repartitionByRange(ranges, "key", "salt").sortWithinPartitions("key", "salt", "doc_id", "ids")
     return order.select("doc_id", "ids").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
