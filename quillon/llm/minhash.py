@@ -7,9 +7,10 @@
 3. Bands of the signature are bucket keys. Each bucket has one centre, the member that lies in the most populous buckets
    overall, and candidate pairs are the edges of the star around it: as many as members, not pairs of members.
 4. Candidates are confirmed on full shingle sets, members streaming past their centre; a centre with many members is salted.
-5. A star can miss a link between two members of a bucket of which one isn't linked to the centre. Buckets whose members
-   are still in different components, once per distinct membership, are therefore compared in full, skipping pairs already
-   connected: the exact way for what the stars leave.
+5. A star can miss a link between two members of a bucket of which one isn't linked to the centre. In buckets whose members
+   are still in different components, once per distinct membership, all members outside the bucket's largest component are
+   therefore compared with all members, skipping pairs already connected: the exact way for what the stars leave. A bucket of
+   more than BLOCK members is dealt in pairs of blocks, so that no task holds more than two blocks of it.
 6. Components by label propagation with pointer jumping.
 
 With r = 5 rows and b = 40 bands, a pair at the threshold 0.85 shares no bucket with probability 7e-11, at 0.8 1e-7.
@@ -36,6 +37,8 @@ from quillon.llm.common import Out, col, free, rows, shared_dir, shuffle_partiti
 CACHE_WORDS = 150_000
 #: Members that stream past one copy of a centre.
 STAR = 512
+#: Members of an open bucket that are compared in one group.
+BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -140,13 +143,15 @@ def similar(a: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray
     return 100 * common >= percent * (len(a) + sizes - common)
 
 
-def _stars(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of shared buckets, and (centre, member): the star of every bucket, each edge once."""
+def _stars(buckets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of shared buckets, and (centre, member): the star of every bucket, each edge once; edges whose sets' sizes alone
+    are too different to be similar are left out."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = written(buckets.join(sizes, "bucket"), "buckets")
     weight = shared.groupBy("rep").agg(F.sum("n").alias("weight"))
-    centres = shared.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("c")).select("bucket", (-F.col("c.rep")).alias("centre"))
-    return shared, shared.join(centres, "bucket").filter("rep <> centre").select("centre", F.col("rep").alias("member")).distinct()
+    centres = shared.join(weight, "rep").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"), "size")).alias("c")).select("bucket", (-F.col("c.rep")).alias("centre"), F.col("c.size").alias("centre_size"))
+    near = 100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")
+    return shared, shared.join(centres, "bucket").filter((F.col("rep") != F.col("centre")) & near).select("centre", F.col("rep").alias("member")).distinct()
 
 
 def _confirmed(edges: DataFrame, docs: DataFrame, opts: Options) -> DataFrame:
@@ -192,15 +197,16 @@ def _rest(shared: DataFrame, labels: DataFrame, docs: DataFrame, opts: Options)
     """Links inside buckets whose members are in different components, each distinct membership once."""
     spark = shared.sparkSession
     named = shared.select("bucket", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    parts = named.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("mark"))
     open_ = (
-        named.groupBy("bucket")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("mark"))
-        .filter("low <> high")
+        parts.groupBy("bucket")
+        .agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("main"), F.sum("mark").alias("mark"))
+        .filter("labels > 1")
         .groupBy("n", "mark")
-        .agg(F.min("bucket").alias("bucket"))
-        .select("bucket")
+        .agg(F.min(F.struct("bucket", "main")).alias("b"))
+        .select("b.bucket", "n", F.col("b.main.n").alias("n_main"), F.col("b.main.label").alias("main"))
     )
-    left = written(named.join(open_, "bucket"), "rest")
+    left = written(named.join(open_, "bucket").select("bucket", "rep", "label", F.explode(_slots()).alias("s")).select("bucket", "rep", "label", "s.*"), "rest")
     if not left.take(1):
         return None
     sent = docs.select("_key", "text").join(left.withColumnRenamed("rep", "_key").hint("shuffle_hash"), "_key")
@@ -211,12 +217,14 @@ def _rest(shared: DataFrame, labels: DataFrame, docs: DataFrame, opts: Options)
         at: object = None
         keys: list[int] = []
         labels: list[int] = []
+        sides: list[int] = []
         sets: list[np.ndarray] = []
 
-        def compare() -> Iterator[pa.RecordBatch]:
-            label, sizes = np.array(labels), np.array([len(s) for s in sets])
+        def compare(cross: bool) -> Iterator[pa.RecordBatch]:
+            label, side, sizes = np.array(labels), np.array(sides), np.array([len(s) for s in sets])
             for i in range(len(keys) - 1):
-                other = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= opts.percent * np.maximum(sizes[i + 1 :], sizes[i])))
+                apart = (label[i + 1 :] != label[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= opts.percent * np.maximum(sizes[i + 1 :], sizes[i]))
+                other = i + 1 + np.flatnonzero(apart & (side[i + 1 :] != side[i]) if cross else apart)
                 for lo in range(0, len(other), 256):
                     some = other[lo : lo + 256]
                     for j in some[similar(sets[i], [sets[j] for j in some], opts.percent)]:
@@ -224,21 +232,42 @@ def _rest(shared: DataFrame, labels: DataFrame, docs: DataFrame, opts: Options)
                         if out.add(keys[i], keys[j]):
                             yield from out.flush()
 
-        for bucket, key, label, text in rows(batches):
-            if bucket != at:
-                yield from compare()
-                at, keys, labels, sets = bucket, [], [], []
+        for bucket, i, j, kind, side, key, label, text in rows(batches):
+            if (bucket, i, j, kind) != at:
+                if keys:
+                    yield from compare(at[3] == 1 or (at[3] == 0 and at[1] != at[2]))
+                at, keys, labels, sides, sets = (bucket, i, j, kind), [], [], [], []
             if not keys or keys[-1] != key:
                 keys.append(key)
                 labels.append(label)
+                sides.append(side)
                 sets.append(shingler(text))
-        yield from compare()
+        if keys:
+            yield from compare(at[3] == 1 or (at[3] == 0 and at[1] != at[2]))
         yield from out.flush()
 
-    dealt = sent.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "_key").select("bucket", "_key", "label", "text")
+    group = ("bucket", "i", "j", "kind")
+    dealt = sent.repartition(shuffle_partitions(spark), *group).sortWithinPartitions(*group, "_key").select(*group, "side", "_key", "label", "text")
     return written(dealt.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def _slots():
+    """The groups (i, j, kind) that a member of an open bucket goes to, and its side there. kind 2: the whole bucket; 0: blocks
+    i <= j of the members outside the main component; 1: block i of those against block j of the main component. Groups
+    of two blocks compare members of different sides."""
+    minor, p, q = F.col("label") != F.col("main"), F.ceil((F.col("n") - F.col("n_main")) / BLOCK).cast("int"), F.ceil(F.col("n_main") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.when(minor, p).otherwise(q)).cast("int")
+
+    def slot(i, j, kind: int, side):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"), side.alias("side"))
+
+    zero, one = F.lit(0), F.lit(1)
+    inside = F.transform(F.sequence(zero, p - 1), lambda x: slot(F.least(x, own), F.greatest(x, own), 0, F.when(x < own, one).otherwise(zero)))
+    across = F.transform(F.sequence(zero, q - 1), lambda x: slot(own, x, 1, zero))
+    main = F.transform(F.sequence(zero, p - 1), lambda x: slot(x, own, 1, one))
+    return F.when(F.col("n") <= BLOCK, F.array(slot(zero, zero, 2, zero))).when(minor, F.concat(inside, across)).otherwise(main)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and label, the smallest node it is connected with, for every node that has a link (a, b)."""
     edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
@@ -258,8 +287,8 @@ def classified(docs: DataFrame, opts: Options = Options()) -> DataFrame:
     shared_dir(docs.sparkSession)
     marks = written(signed(docs, opts), "signatures")
     reps = marks.filter("digest is not null").groupBy("digest").agg(F.min("_key").alias("rep"))
-    bands = marks.select(F.col("_key").alias("rep"), "bands").join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
-    shared, edges = _stars(bands.select("rep", F.explode("bands").alias("bucket")))
+    bands = marks.select(F.col("_key").alias("rep"), "bands", F.col("n_shingles").alias("size")).join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    shared, edges = _stars(bands.select("rep", "size", F.explode("bands").alias("bucket")), opts.percent)
     links = _confirmed(edges, docs, opts)
     labels = components(links)
     more = _rest(shared, labels, docs, opts)
