@@ -41,6 +41,8 @@ from quillon.llm.common import Out, col, free, keyed, mapped, rows, shuffle_part
 LENGTH, GRAM = 100, 32
 HOT = 4096
 MAX_HOT = 4_000_000
+#: Bytes of text a part, where there are more of them than Spark's shuffle partitions take.
+PART_BYTES = 1 << 26
 #: Bytes hashed at a time, anchors a task sorts at once, suffixes in a run.
 PART, ANCHORS, RUN = 1 << 19, 400_000, 60_000
 
@@ -204,7 +206,7 @@ def _fingerprints(docs: DataFrame, buckets: int, length: int) -> DataFrame:
 _REPEATED = "_key long, places array<int>, hot long"
 
 
-def _repeated(sent: DataFrame, hot_from: int) -> DataFrame:
+def _repeated(sent: DataFrame, buckets: int, hot_from: int) -> DataFrame:
     """Keys and places of the anchors whose k-gram occurs again; and the hashes of those that occur hot_from times."""
     schema = pa.schema([("_key", pa.int64()), ("places", pa.list_(pa.int32())), ("hot", pa.int64())])
 
@@ -244,8 +246,7 @@ def _repeated(sent: DataFrame, hot_from: int) -> DataFrame:
             held.append(_unpack(payload, "<u8", "<i8", "<i4", "<u4"))
         yield from settle()
 
-    spark = sent.sparkSession
-    return sent.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, _REPEATED)
+    return sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, _REPEATED)
 
 
 # sorted runs and their merge
@@ -393,7 +394,7 @@ def settled(group: list[tuple[bytes, bytes, int, int]], length: int) -> Iterator
             yield d, start + lo, start + len(text) - length
 
 
-def _runs(docs: DataFrame, hot: np.ndarray, buckets: int, length: int) -> DataFrame:
+def _runs(docs: DataFrame, hot, buckets: int, length: int) -> DataFrame:
     """(bucket, kind, payload) from rows of _key, data, places: 0 front-coded runs; 1 intervals settled inside the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +431,7 @@ def _runs(docs: DataFrame, hot: np.ndarray, buckets: int, length: int) -> DataFr
             wanted = np.array([t << 40 | p for t, ps in enumerate(places) for p in ps], dtype=np.int64)
             some = np.isin(text.astype(np.int64) << 40 | place, wanted)
             text, place, lo, hi, h = text[some], place[some], lo[some], hi[some], h[some]
-            is_hot = np.isin(h, hot)
+            is_hot = np.isin(h, hot.value)
             names = h.astype(">u8").tobytes()
             for i, (t, p, a, b, hh) in enumerate(zip(text.tolist(), place.tolist(), lo.tolist(), hi.tolist(), is_hot.tolist(), strict=True)):
                 data, key = texts[t], keys[t]
@@ -449,7 +450,7 @@ def _runs(docs: DataFrame, hot: np.ndarray, buckets: int, length: int) -> DataFr
     return docs.mapInArrow(run, "bucket int, kind int, payload binary")
 
 
-def _merged(sent: DataFrame, length: int) -> DataFrame:
+def _merged(sent: DataFrame, buckets: int, length: int) -> DataFrame:
     """_key, lo, hi: intervals of starts of repeated strings."""
     schema = pa.schema([("_key", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
@@ -482,20 +483,24 @@ def _merged(sent: DataFrame, length: int) -> DataFrame:
             runs.append(Run(payload))
         yield from merge()
 
-    return sent.repartition(shuffle_partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "_key long, lo long, hi long")
+    return sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "_key long, lo long, hi long")
 
 
-def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def parts_of(docs: DataFrame, text: str) -> tuple[int, int]:
+    """Bytes of all texts, and the number of parts that they are dealt to: at most about PART_BYTES each."""
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return total, max(shuffle_partitions(docs.sparkSession), total // PART_BYTES)
+
+
+def repeated_strings(docs: DataFrame, total: int, parts: int, length: int = LENGTH) -> DataFrame:
     """_key and spans, an array of (lo, hi): starts of the strings that occur earlier. docs: _key (not null) and data."""
     spark = docs.sparkSession
-    total = docs.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = max(2 * shuffle_partitions(spark), total >> 27)
-    hot_from = max(HOT, total // 35 // MAX_HOT)
-    found = written(_repeated(_fingerprints(docs, buckets, length), hot_from), "anchors")
-    hot = np.array(sorted(r["hot"] for r in found.filter("hot is not null").select("hot").distinct().collect()), dtype=np.int64).view(np.uint64)
+    found = written(_repeated(_fingerprints(docs, parts, length), parts, max(HOT, total // 35 // MAX_HOT)), "anchors")
+    names = found.filter("hot is not null").select("hot").distinct().toArrow()["hot"].combine_chunks()
+    hot = spark.sparkContext.broadcast(np.sort(names.to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64))
     places = found.filter("_key is not null").groupBy("_key").agg(F.flatten(F.collect_list("places")).alias("places"))
-    runs = _runs(docs.join(places.hint("shuffle_hash"), "_key"), hot, buckets, length)
-    return _merged(runs, length).groupBy("_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    runs = _runs(docs.repartition(parts, "_key").join(places.hint("shuffle_hash"), "_key"), hot, parts, length)
+    return _merged(runs, parts, length).groupBy("_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def kept_bytes(data: bytes, spans: list[tuple[int, int]], length: int = LENGTH) -> tuple[bytes, int, int]:
@@ -517,8 +522,9 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256. Both joins with the texts take the same columns by the same key, so
     their one exchange is written once; the filter, which drops nothing, makes their inputs equal plans."""
     given, plain = keyed(docs.select("doc_id", "text"))
+    total, parts = parts_of(docs, "text")
     texts = given.filter("_key is not null").select("_key", F.coalesce("text", F.lit("")).cast("binary").alias("data"))
-    spans = repeated_strings(texts, length)
+    spans = repeated_strings(texts, total, parts, length)
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,7 +535,7 @@ def removed(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield from out.flush()
         yield from out.flush()
 
-    joined = texts.join(spans.hint("shuffle_hash"), "_key", "left").select("_key", "data", "spans")
+    joined = texts.repartition(parts, "_key").join(spans.hint("shuffle_hash"), "_key", "left").select("_key", "data", "spans")
     found = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     if plain:
         return found
@@ -541,8 +547,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the repeated bytes of text removed (a character of which some bytes are removed goes whole), n_chars, where
     it is a column, of what is left."""
     key, found = free("_key", docs), free("_spans", docs)
+    total, parts = parts_of(docs, "text")
     given = with_key(docs, key=key).filter(F.col(key).isNotNull())
-    spans = repeated_strings(given.select(F.col(key).alias("_key"), F.coalesce("text", F.lit("")).cast("binary").alias("data")), length)
+    spans = repeated_strings(given.select(F.col(key).alias("_key"), F.coalesce("text", F.lit("")).cast("binary").alias("data")), total, parts, length)
     names = docs.columns
     text, n_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
@@ -559,7 +566,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns[n_chars] = pa.array([None if t is None else len(t) for t in texts], columns[n_chars].type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[: len(names)])
 
-    joined = given.join(spans.select(F.col("_key").alias(key), F.col("spans").alias(found)).hint("shuffle_hash"), key, "left")
+    joined = given.repartition(parts, key).join(spans.select(F.col("_key").alias(key), F.col("spans").alias(found)).hint("shuffle_hash"), key, "left")
     return mapped(joined.select(*(col(c) for c in names), found), run, len(names))
 
 
