@@ -177,13 +177,42 @@ def test_fingerprints(spark, ids):
 
 
 def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
-    import xxhash
-
-    docs = documents(spark, ["aa", "bb", "aa"])
-    monkeypatch.setattr(xxhash, "xxh3_128_hexdigest", lambda b: "0" * 32)
-    if fingerprint.fingerprint("aa") == fingerprint.fingerprint("bb"):
-        edited = fingerprint.edit("abcd", "xyz")
-        assert edited == "abxy" and docs.count() == 3
+    docs = documents(spark, ["aa", "bb", "aa", "c", "bb", None])
+    monkeypatch.setattr(fingerprint, "GROUP", 2)
+    got = {r["doc_id"]: r for r in fingerprint.compared(docs, digest=lambda b: "0" * 32).collect()}
+    prints = {i: r["fingerprint"] for i, r in got.items()}
+    assert prints[0] == "0" * 32 and prints[1] == prints[4] == f"{'0' * 32}-{prints[1].split('-')[1]}" and prints[2] == prints[0]
+    assert len(set(prints.values())) == 4 and prints[3].startswith("0" * 32 + "-")
+
+
+def brute_fingerprints(docs):
+    """By the definition, from the standard library only: canonical texts, edits and which fingerprints are equal."""
+    import unicodedata
+
+    ordered = sorted(docs)
+    out = {}
+    for k, (i, t) in enumerate(ordered):
+        t, nxt = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        half = len(t) // 2
+        e = "".join([*t[: len(t) - half], *nxt[:half]])
+        fold = [" ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", x).casefold()).split()) for x in (t, e, nxt)]
+        out[i] = (len(t), hashlib.sha256(e.encode()).hexdigest(), fold[0], fold[1], float(fold[0] == fold[1]), float(fold[0] == fold[2]))
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark):
+    rng = random.Random(15)
+    texts = ["".join(rng.choice(["a", "A", " ", "  ", "ß", "SS", "ﬁ", "fi", "é", "e\u0301", "Σ", "\u00a0", "①"]) for _ in range(rng.randrange(6))) for _ in range(300)] + ["same"] * 40 + [None]
+    docs = [(3 * i + rng.randrange(3), t) for i, t in enumerate(texts)]
+    rng.shuffle(docs)
+    want = brute_fingerprints(docs)
+    got = {r["doc_id"]: r for r in fingerprint.compared(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert {i: (r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for i, r in got.items()} == {i: (w[0], w[1], w[4], w[5]) for i, w in want.items()}
+    by_text: dict = {}
+    for i, w in want.items():
+        by_text.setdefault(w[2], set()).add(got[i]["fingerprint"])
+        by_text.setdefault(w[3], set()).add(got[i]["edited_fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values()) and len({next(iter(x)) for x in by_text.values()}) == len(by_text)
 
 
 # BPE
