@@ -106,7 +106,7 @@ ORACLE: dict[str, str] = {
     "clustering": f"WITH {_TRI} SELECT part, round(c, 8) AS coefficient FROM cl",
     "transitivity": f"WITH {_TRI} SELECT CAST(sum(t) / 3 AS BIGINT) AS triangles, round(avg(c), 8) AS average, round(CASE WHEN sum(d * (d - 1) // 2) > 0 THEN sum(t) / sum(d * (d - 1) // 2) ELSE 0.0 END, 8) AS transitivity FROM cl",
     "assortativity": f"WITH {_ARCS}, ends AS (SELECT a.d AS x, b.d AS y FROM arcs JOIN deg a ON arcs.src = a.part JOIN deg b ON arcs.dst = b.part) SELECT round({_pearson('x', 'y', 'ends')}, 8) AS r",
-    "link_scores": f"""WITH {_ARCS}, low AS (SELECT part FROM nodes ORDER BY part LIMIT 10), pairs AS (SELECT a.part AS a, b.part AS b FROM low a JOIN low b ON a.part < b.part),
+    "link_scores": f"""WITH {_ARCS}, pairs AS (SELECT src AS a, dst AS b FROM co),
       sh AS (SELECT a, b, count(*) AS cn, sum(CASE WHEN ln(z.d) > 0 THEN 1 / ln(z.d) END) AS aa, sum(1.0 / z.d) AS ra FROM pairs JOIN arcs x ON x.src = a JOIN arcs y ON y.src = b AND y.dst = x.dst JOIN deg z ON z.part = x.dst GROUP BY 1, 2)
       SELECT p.a AS part_a, p.b AS part_b, CAST(coalesce(cn, 0) AS BIGINT) AS common_neighbours, round(CASE WHEN da.d + db.d - coalesce(cn, 0) > 0 THEN coalesce(cn, 0) / (da.d + db.d - coalesce(cn, 0)) ELSE 0.0 END, 8) AS jaccard,
         round(coalesce(aa, 0.0), 8) AS adamic_adar, round(CAST(coalesce(ra, 0.0) AS DOUBLE), 8) AS resource_allocation, da.d * db.d AS preferential_attachment
