@@ -190,6 +190,24 @@ class Graph:
 
         return self.nodes().repartition(max(1, min(self.order_, 4 * self.spark.sparkContext.defaultParallelism))).mapInArrow(run, schema)
 
+    def summed_by_source(self, f: Callable[[Csr, int], tuple[np.ndarray, np.ndarray]], what: str) -> DataFrame:
+        """node and score: the sums over all sources of f's values, added into one vector a task before they are shuffled."""
+        self.need_fit(what)
+        held, order = self.spark.sparkContext.broadcast(self.csr()), self.order_
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            g, total = held.value, np.zeros(order)
+            for b in batches:
+                for s in b["node"].to_pylist():
+                    nodes, values = f(g, s)
+                    total[nodes] += values
+            some = np.flatnonzero(total)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], names=["node", "score"])
+
+        dealt = self.nodes().repartition(max(1, min(self.order_, 4 * self.spark.sparkContext.defaultParallelism)))
+        return dealt.mapInArrow(run, "node long, score double").groupBy("node").agg(F.sum("score").alias("score"))
+
 
 def _order(edges: DataFrame) -> int:
     high = edges.agg(F.max(F.greatest("src", "dst"))).first()[0]

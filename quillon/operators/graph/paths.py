@@ -74,16 +74,34 @@ def distances(g: Graph, source: int) -> DataFrame:
 
 
 def shortest_path(g: Graph, source: int, target: int) -> list[int]:
-    """Nodes from source to target, [] if there is no way; of equal ways the one over smallest predecessors."""
+    """Nodes from source to target, [] if there is no way; of equal ways the one over smallest predecessors. A graph that fits
+    one task is followed there; in a larger one the nodes on the way are found by doubling steps, so a way of n edges takes
+    log n joins."""
     require(g.has_node(target), f"there is no node {target}")
-    found = _weighted(g, source)
-    at = found.filter(F.col("node") == target).first()
-    if at is None or at["distance"] < 0:
+    if g.fits:
+        require(g.has_node(source), f"there is no node {source}")
+
+        def kernel(c: kernels.Csr) -> dict:
+            d, before = kernels.dijkstra(c, source)
+            way = [target] if d[target] >= 0 else []
+            while way and way[-1] != source:
+                way.append(int(before[way[-1]]))
+            return {"at": np.arange(len(way)), "node": np.array(way[::-1], dtype=np.int64)}
+
+        return [r["node"] for r in g.in_one_task(kernel, "at long, node long").orderBy("at").collect()]
+    steps = Steps(g.spark, depth=3)
+    found = steps.keep(_weighted(g, source))
+    if found.filter((F.col("node") == target) & (F.col("distance") >= 0)).first() is None:
         return []
-    path = [target]
-    while path[-1] != source:
-        path.append(found.filter(F.col("node") == path[-1]).first()["previous"])
-    return path[::-1]
+    jump = found.filter((F.col("previous") >= 0) & (F.col("node") != source)).select("node", F.col("previous").alias("to"))
+    steps = Steps(g.spark, depth=4)
+    way, span = g.spark.sql(f"SELECT {target}L AS node, 0L AS back"), 1
+    while not way.filter(F.col("node") == source).take(1):
+        more = way.join(jump, "node").select(F.col("to").alias("node"), (F.col("back") + span).alias("back"))
+        way = steps.keep(way.unionByName(more).dropDuplicates(["node"]))
+        jump = steps.keep(jump.join(jump.select(F.col("node").alias("to"), F.col("to").alias("far")), "to").select("node", F.col("far").alias("to")))
+        span *= 2
+    return [r["node"] for r in way.orderBy(F.desc("back")).collect()]
 
 
 @dataclass(frozen=True)
@@ -142,12 +160,8 @@ def harmonic(g: Graph) -> DataFrame:
 
 
 def _dependencies(g: Graph, kernel, what: str) -> DataFrame:
-    def one(c: kernels.Csr, s: int) -> dict:
-        nodes, values = kernel(c, s)
-        return {"node": nodes, "score": values}
-
     half = 1.0 if g.is_directed() else 0.5
-    sums = g.by_source(one, "node long, score double", what).groupBy("node").agg((F.sum("score") * half).alias("score"))
+    sums = g.summed_by_source(kernel, what).select("node", (F.col("score") * half).alias("score"))
     return g.nodes().join(sums, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.errors import require
-from quillon.iterate import python_path
+from quillon.iterate import python_path, settled
+from quillon.plans.prefix import running_total
 
 #: Numbers in a block of query vectors: what is broadcast at once.
 BLOCK_NUMBERS = 4_000_000
@@ -168,13 +169,22 @@ def marginal_relevance_of_all(queries: DataFrame, candidates: DataFrame, k: int,
     return spark.createDataFrame(found, "query long, key long, rank int")
 
 
+#: Rankings whose first places are sent to every task; with more of them, none has more than this part of all rows on average.
+FEW_RANKINGS = 10_000
+
+
 def reciprocal_rank_fusion(rankings: DataFrame, k: int = 60, key: str = "key", position: str = "position", ranking: str = "ranking", by: list[str] | None = None) -> DataFrame:
     """key, score and rank (a query, `by`). A key's first place in a ranking counts, and later ones still take up places.
-    position orders a ranking; places are counted from 1. Contributions are added from the largest rank on."""
+    position orders a ranking; places are counted from 1, by a running total over all rankings, so that no task holds a long
+    one. Contributions are added from the largest rank on."""
     require(k >= 0, "k must not be negative")
     by = by or []
-    place = F.row_number().over(Window.partitionBy(*by, ranking).orderBy(position))
-    first = rankings.withColumn("_place", place).groupBy(*by, ranking, key).agg(F.min("_place").alias("_place"))
+    placed = running_total(rankings.select(*by, ranking, key, position), [*map(F.col, by), F.col(ranking), F.col(position), F.col(key)], F.lit(1), "_at")
+    first = placed.groupBy(*by, ranking, key).agg(F.min("_at").alias("_at"))
+    begins = settled(placed.groupBy(*by, ranking).agg((F.min("_at") - 1).alias("_before")))
+    if begins.count() <= FEW_RANKINGS:
+        begins = F.broadcast(begins)
+    first = first.join(begins, [*by, ranking]).withColumn("_place", F.col("_at") - F.col("_before"))
     terms = F.transform(F.sort_array(F.collect_list("_place"), False), lambda p: 1.0 / (F.lit(k) + p))
     fused = first.groupBy(*by, key).agg(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x).alias("score"))
     if not by:

@@ -18,7 +18,7 @@ from quillon.functions.sums import exact_sums, products
 from quillon.iterate import python_path
 from quillon.operators.stats.ranks import midranks, no_nan
 
-#: Rows that Kendall's merge count takes in one task; beyond, blocks of them are compared.
+#: Rows that Kendall's merge count takes in one task; more are refused.
 KENDALL_BLOCK = 5_000_000
 
 
@@ -99,14 +99,42 @@ def kendall(df: DataFrame, x: str, y: str) -> float:
     return max(-1.0, min(1.0, (concordant - discordant) / math.sqrt(whole - tx) / math.sqrt(whole - ty)))
 
 
+def _pearson_matrix(df: DataFrame, columns: list[str]) -> list[list[float]]:
+    """Two passes for all columns together: means, then all cross products about them."""
+    k = len(columns)
+    own = [F.col(c) for c in columns]
+    n, sums = exact_sums(df, own, lambda *x: [[a] for a in x])
+    require(n >= 2, "correlation needs at least 2 pairs")
+    means = [s / n for s in sums]
+    require(all(map(math.isfinite, means)), "correlation needs finite values")
+
+    def build(*x: np.ndarray) -> list[list[np.ndarray]]:
+        x = [a - m for a, m in zip(x, means, strict=True)]
+        return [[a] for a in x] + [products(x[i], x[j]) for i in range(k) for j in range(i + 1)]
+
+    found = exact_sums(df, own, build)[1]
+    rest = found[:k]
+    cross = {(i, j): found[k + i * (i + 1) // 2 + j] - rest[i] * rest[j] / n for i in range(k) for j in range(i + 1)}
+    require(k == 1 or all(cross[i, i] > 0 for i in range(k)), "correlation of a sample without variation is undefined")
+    r = {(i, j): max(-1.0, min(1.0, cross[i, j] / (math.sqrt(cross[i, i]) * math.sqrt(cross[j, j])))) for i in range(k) for j in range(i)}
+    return [[1.0 if i == j else r[max(i, j), min(i, j)] for j in range(k)] for i in range(k)]
+
+
 def matrix(df: DataFrame, columns: list[str], method: str = "pearson") -> list[list[float]]:
-    methods = {"pearson": pearson, "spearman": spearman, "kendall": kendall}
-    if method not in methods:
+    """Over the rows that have all columns."""
+    if method not in ("pearson", "spearman", "kendall"):
         raise InvalidArgument(f"no correlation method {method!r}")
     require(len(columns) >= 1, "a correlation matrix needs columns")
-    complete = df.select(*columns).dropna()
-    out = [[1.0] * len(columns) for _ in columns]
-    for i, a in enumerate(columns):
+    names = [f"c{i}" for i in range(len(columns))]
+    complete = df.select(*(F.col(c).cast("double").alias(x) for c, x in zip(columns, names, strict=True))).dropna()
+    if method == "pearson":
+        return _pearson_matrix(complete, names)
+    if method == "spearman":
+        for x in names:
+            complete = midranks(complete, x, f"r{x}")
+        return _pearson_matrix(complete, [f"r{x}" for x in names])
+    out = [[1.0] * len(names) for _ in names]
+    for i, a in enumerate(names):
         for j in range(i):
-            out[i][j] = out[j][i] = methods[method](complete, a, columns[j])
+            out[i][j] = out[j][i] = kendall(complete, a, names[j])
     return out

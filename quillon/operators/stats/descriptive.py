@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quillon.errors import require
 from quillon.functions.sums import exact_sums, products, triple
 from quillon.iterate import python_path
+from quillon.plans.prefix import quantiles, running_total
 
 
 class Precision(enum.Enum):
@@ -27,6 +28,10 @@ class Precision(enum.Enum):
     FAST = "fast"
 
 
+#: Lag up to which ranges hand their border values to the driver.
+BORDER = 4096
+
+
 class Descriptive:
     def __init__(self, df: DataFrame, column: str | Column, order_by: str | Column | None = None, precision: Precision = Precision.EXTENDED):
         value = F.col(column) if isinstance(column, str) else column
@@ -144,18 +149,19 @@ class Descriptive:
     def quantile(self, p: float) -> float:
         require(0 <= p <= 1, "a quantile's probability must be between 0 and 1")
         self._need(1, "quantile")
-        return self.df.agg(F.percentile("x", p)).first()[0]
+        return quantiles(self.df, "x", [p]).first()[0][0]
 
     def median(self) -> float:
         return self.quantile(0.5)
 
     def iqr(self) -> float:
         self._need(1, "iqr")
-        low, high = self.df.agg(F.percentile("x", [0.25, 0.75])).first()[0]
+        low, high = quantiles(self.df, "x", [0.25, 0.75]).first()[0]
         return high - low
 
     def autocorrelation(self, lag: int = 1) -> float:
-        """Rows are range-sorted; each range gives its own products and its first and last `lag` values."""
+        """Rows are range-sorted; each range gives its own products and its first and last `lag` values. Beyond BORDER values,
+        too many for the driver to take from every range, rows are numbered and joined with those `lag` places on."""
         require(self.ordered, "autocorrelation needs order_by")
         n = self.count()
         require(1 <= lag < n, "lag must be at least 1 and below the number of values")
@@ -171,6 +177,16 @@ class Descriptive:
             a, b = deviations(x), deviations(y)
             return [*products(a[0], b[0]), a[0] * b[1], a[1] * b[0]] if exact else [a[0] * b[0]]
 
+        def ratio(terms: list[float]) -> float:
+            below = exact_sums(self.df, [F.col("x")], lambda x: [product(x, x)])[1][0] if exact else self._moments[0]
+            require(below > 0, "autocorrelation of a constant sample is undefined")
+            return math.fsum(terms) / below
+
+        if lag > BORDER:
+            numbered = running_total(self.df, [F.col("at")], F.lit(1), "i").select("i", "x")
+            later = numbered.select((F.col("i") - lag).alias("i"), F.col("x").alias("y"))
+            return ratio(exact_sums(numbered.join(later, "i"), [F.col("x"), F.col("y")], lambda x, y: [product(x, y)])[1])
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head, tail, held = np.zeros(0), np.zeros(0), [0.0, 0.0, 0.0]
             count = 0
@@ -215,12 +231,7 @@ class Descriptive:
                 if len(tail) <= i + lag < len(both):
                     terms += [float(v[0]) for v in product(both[i : i + 1], both[i + lag : i + lag + 1])]
             tail = np.concatenate((tail, np.array(r["tail"])))[-lag:]
-        if exact:
-            below = exact_sums(self.df, [F.col("x")], lambda x: [product(x, x)])[1][0]
-        else:
-            below = self._moments[0]
-        require(below > 0, "autocorrelation of a constant sample is undefined")
-        return math.fsum(terms) / below
+        return ratio(terms)
 
 
 def describe(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
@@ -235,8 +246,17 @@ def describe(df: DataFrame, column: str, by: list[str] | None = None) -> DataFra
         spread = x.withColumn("_m", F.lit(means.first()["_m"]))
     d = F.col("_x") - F.col("_m")
     s = spread.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum("_x").alias("sum"), F.first("_m").alias("mean"), F.min("_x").alias("min"), F.max("_x").alias("max"), F.percentile("_x", [0.25, 0.5, 0.75]).alias("_q"), *(F.sum(F.pow(d, F.lit(k))).alias(f"_s{k}") for k in (1, 2, 3, 4))
+        F.count("*").alias("n"), F.sum("_x").alias("sum"), F.first("_m").alias("mean"), F.min("_x").alias("min"), F.max("_x").alias("max"), *(F.sum(F.pow(d, F.lit(k))).alias(f"_s{k}") for k in (1, 2, 3, 4))
     )
+    found = quantiles(x, "_x", [0.25, 0.5, 0.75], by)
+    if by:
+        on = F.lit(True)
+        for i, c in enumerate(by):
+            on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+        s = s.join(found.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), "_q"), on)
+    else:
+        r = found.first()
+        s = s.withColumn("_q", F.array(*(F.lit(v).cast("double") for v in (r["_q"] if r else [None] * 3))))
     n = F.col("n").cast("double")
     s2 = F.greatest(F.lit(0.0), F.col("_s2") - F.col("_s1") * F.col("_s1") / n)
     some = s2 > 0

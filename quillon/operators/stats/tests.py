@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from quillon.errors import InvalidArgument, require
 from quillon.functions.distributions import ChiSquared, FisherSnedecor, Normal, StudentT
 from quillon.functions.sums import exact_sums
+from quillon.iterate import settled
 from quillon.operators.stats.ranks import midranks
+from quillon.plans.prefix import running_extreme, running_total
 
 
 class Alternative(enum.Enum):
@@ -86,14 +88,22 @@ def anova(df: DataFrame, group: str, value: str) -> OneWayAnova:
 class ChiSquaredTest:
     statistic: float
     degrees_of_freedom: int
-    expected: dict[tuple, float] = field(repr=False)
+    rows: DataFrame = field(repr=False)
+    columns: DataFrame = field(repr=False)
+    total: float
 
     def p_value(self) -> float:
         return ChiSquared(self.degrees_of_freedom).survival(self.statistic)
 
+    def expected(self) -> DataFrame:
+        """r, c, expected of every cell of the table, made when it is asked for: as many rows as the table has cells."""
+        return self.rows.crossJoin(self.columns).select("r", "c", (F.col("rn") * F.col("cn") / F.lit(self.total)).alias("expected"))
+
 
 def _chi_squared(cells: DataFrame, continuity: Continuity) -> ChiSquaredTest:
-    """cells: r, c, n; cells that are missing are observed zeros."""
+    """cells: r, c, n; cells that are missing are observed zeros. Their share of the statistic is what they were expected to
+    hold: the total less what the others were. So only the cells that are there are met, each with its two margins."""
+    cells = settled(cells)
     low, total = cells.agg(F.min("n"), F.sum("n")).first()
     require(low is not None and low >= 0, "a contingency table needs counts that aren't negative")
     rows, columns = cells.groupBy("r").agg(F.sum("n").alias("rn")), cells.groupBy("c").agg(F.sum("n").alias("cn"))
@@ -101,13 +111,20 @@ def _chi_squared(cells: DataFrame, continuity: Continuity) -> ChiSquaredTest:
     require(nr[0] >= 2 and nc[0] >= 2, "a contingency table needs at least 2 rows and 2 columns")
     require(nr[1] > 0 and nc[1] > 0, "a contingency table must not have an empty row or column")
     df = (nr[0] - 1) * (nc[0] - 1)
-    # the table of margins is the result's own size
-    margins = rows.join(columns, F.lit(True)).withColumn("e", F.col("rn") * F.col("cn") / F.lit(float(total)))
-    full = margins.join(cells, ["r", "c"], "left").withColumn("d", F.coalesce("n", F.lit(0.0)) - F.col("e"))
-    if continuity is Continuity.CORRECTED and df == 1:
-        full = full.withColumn("d", F.signum("d") * (F.abs("d") - F.least(F.lit(0.5), F.abs("d"))))
-    found = full.select("r", "c", "e", (F.col("d") * F.col("d") / F.col("e")).alias("x")).collect()
-    return ChiSquaredTest(math.fsum(r["x"] for r in found), df, {(r["r"], r["c"]): r["e"] for r in found})
+    if df == 1:  # two by two
+        held = {(r["r"], r["c"]): r["n"] for r in cells.collect()}
+        rn, cn = {r["r"]: r["rn"] for r in rows.collect()}, {r["c"]: r["cn"] for r in columns.collect()}
+        terms = []
+        for r in rn:
+            for c in cn:
+                e = rn[r] * cn[c] / total
+                d = abs(held.get((r, c), 0.0) - e)
+                terms.append((d - min(0.5, d) if continuity is Continuity.CORRECTED else d) ** 2 / e)
+        return ChiSquaredTest(math.fsum(terms), df, rows, columns, float(total))
+    e = F.col("rn") * F.col("cn") / F.lit(float(total))
+    met = cells.join(rows, "r").join(columns, "c").select(F.col("n").alias("n"), e.alias("e"))
+    _, (x, seen) = exact_sums(met, [F.col("n"), F.col("e")], lambda n, e: [[(n - e) ** 2 / e], [e]])
+    return ChiSquaredTest(x + max(0.0, total - seen), df, rows, columns, float(total))
 
 
 def chi_squared(df: DataFrame, row: str, column: str, count: str | None = None, continuity: Continuity = Continuity.CORRECTED) -> ChiSquaredTest:
@@ -176,19 +193,18 @@ class MannWhitneyU:
         return min(1.0, 2 * tail) if self.alternative is Alternative.TWO_SIDED else tail
 
 
-def _pooled(rows: DataFrame) -> tuple[int, list, float]:
-    """Number of values, (group, n, rank sum) and the sum of t**3 - t over ties."""
-    ranked = midranks(rows, "v", "r")
-    sums = ranked.groupBy("g").agg(F.count("*").alias("n"), F.sum("r").alias("r"), F.first("g").alias("name")).collect()
+def _pooled(rows: DataFrame) -> tuple[int, DataFrame, float]:
+    """Number of values, a frame of (g, n, rank sum r) and the sum of t**3 - t over ties."""
+    sums = settled(midranks(rows, "v", "r").groupBy("g").agg(F.count("*").alias("n"), F.sum("r").alias("r")))
     t = F.col("t").cast("double")
     ties = rows.groupBy("v").agg(F.count("*").alias("t")).agg(F.coalesce(F.sum(t * t * t - t), F.lit(0.0))).first()[0]
-    return sum(r["n"] for r in sums), sums, ties
+    return sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], sums, ties
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, x: object, y: object, alternative: Alternative = Alternative.TWO_SIDED, continuity: Continuity = Continuity.CORRECTED) -> MannWhitneyU:
     rows = _long(df, group, value).filter(F.col("g").isin([x, y]))
     n, sums, ties = _pooled(rows)
-    sizes = {r["g"]: r for r in sums}
+    sizes = {r["g"]: r for r in sums.collect()}  # at most the two samples
     require(x in sizes and y in sizes, "both samples need values")
     n1, n2 = sizes[x]["n"], sizes[y]["n"]
     u = sizes[x]["r"] - n1 * (n1 + 1) / 2
@@ -211,15 +227,16 @@ class KruskalWallis:
 
 def kruskal_wallis(df: DataFrame, group: str, value: str) -> KruskalWallis:
     n, sums, ties = _pooled(_long(df, group, value))
-    require(len(sums) >= 2, "the test needs at least 2 groups that aren't empty")
     middle = (n + 1) / 2
-    h = 12 / (n * (n + 1)) * math.fsum(r["n"] * (r["r"] / r["n"] - middle) ** 2 for r in sums)
+    k, apart = exact_sums(sums, [F.col("n"), F.col("r")], lambda n, r: [[n * (r / n - middle) ** 2]])
+    require(k >= 2, "the test needs at least 2 groups that aren't empty")
+    h = 12 / (n * (n + 1)) * apart[0]
     factor = 1 - ties / (float(n) ** 3 - n)
     require(factor > 0, "all values are tied")
-    return KruskalWallis(h / factor, h, len(sums) - 1)
+    return KruskalWallis(h / factor, h, k - 1)
 
 
-# --- multiple testing ---------------------------------------------------------------------------------------------------
+# multiple testing
 
 
 class Adjustment(enum.Enum):
@@ -229,11 +246,15 @@ class Adjustment(enum.Enum):
 
 
 def adjust(df: DataFrame, p: str, method: Adjustment, by: list[str] | None = None, name: str = "adjusted") -> DataFrame:
-    """df with the p-values adjusted within each family (`by`). A family is ranked by one window; it is a set of tests, so
-    it is taken to fit a task."""
+    """df with the p-values adjusted within each family (`by`), or over the whole table as one family. A family of `by` is
+    ranked by a window, in a task; the table as a whole by running totals over its distinct p-values."""
     bad = df.filter(F.col(p).isNull() | F.isnan(p) | ~F.col(p).between(0, 1)).limit(1)
     require(not bad.take(1), "p-values must be between 0 and 1")
-    w = Window.partitionBy(*(by or [F.lit(0)]))
+    if not isinstance(method, Adjustment):
+        raise InvalidArgument(f"no adjustment {method!r}")
+    if not by:
+        return _adjust_all(df, p, method, name)
+    w = Window.partitionBy(*by)
     n = F.count("*").over(w).cast("double")
     value = F.col(p)
     if method is Adjustment.BONFERRONI:
@@ -243,18 +264,31 @@ def adjust(df: DataFrame, p: str, method: Adjustment, by: list[str] | None = Non
     if method is Adjustment.HOLM:
         step = (F.col("_n") - F.col("_rank") + 1) * value
         out = F.max("_step").over(up.rowsBetween(Window.unboundedPreceding, 0))
-    elif method is Adjustment.BENJAMINI_HOCHBERG:
+    else:
         step = value / (F.col("_rank") / F.col("_n"))
         out = F.min("_step").over(up.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        raise InvalidArgument(f"no adjustment {method!r}")
     # tied p-values share the extreme over their places
     ranked = ranked.withColumn("_step", step).withColumn("_out", out)
-    tied = Window.partitionBy(*(by or [F.lit(0)]), p)
+    tied = Window.partitionBy(*by, p)
     ranked = ranked.withColumn("_out", (F.max if method is Adjustment.HOLM else F.min)("_out").over(tied))
     return ranked.withColumn(name, F.least(F.lit(1.0), F.col("_out"))).drop("_n", "_rank", "_step", "_out")
 
 
+def _adjust_all(df: DataFrame, p: str, method: Adjustment, name: str) -> DataFrame:
+    """One family. Of equal p-values, which take the places upto - c + 1 to upto, Holm's largest step is that of the first place
+    and Benjamini and Hochberg's smallest that of the last."""
+    if method is Adjustment.BONFERRONI:
+        n = float(df.count())
+        return df.withColumn(name, F.least(F.lit(1.0), F.col(p) * n))
+    placed = running_total(df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_c")), [F.col("_p")], F.col("_c"), "_upto")
+    n = float(placed.agg(F.coalesce(F.max("_upto"), F.lit(0))).first()[0])
+    if method is Adjustment.HOLM:
+        found = running_extreme(placed, [F.col("_p")], (F.lit(n) - F.col("_upto") + F.col("_c")) * F.col("_p"), "_out", True)
+    else:
+        found = running_extreme(placed, [F.desc("_p")], F.col("_p") / (F.col("_upto") / F.lit(n)), "_out", False)
+    return df.join(found.select("_p", "_out"), F.col(p) == F.col("_p")).withColumn(name, F.least(F.lit(1.0), F.col("_out"))).drop("_p", "_out")
+
+
 def rejected(df: DataFrame, p: str, method: Adjustment, alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
     require(0 < alpha <= 1, "alpha must be above 0 and at most 1")
     return adjust(df, p, method, by, "_adjusted").withColumn("rejected", F.col("_adjusted") <= alpha).drop("_adjusted")

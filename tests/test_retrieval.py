@@ -56,14 +56,12 @@ def test_mmr(spark, vectors):
         search.maximal_marginal_relevance(query, pool, 4, 1.5)
 
 
-def test_mmr_query_takes_all_vectors(spark, tmp_path):
-    from quillon.plans.queries import QUERIES
-
+def test_mmr_query_takes_all_vectors(spark):
     # 40 near copies of the query fill its 30 nearest; key 99 is farther off and the only one that isn't redundant
     near = [[1.0, 0.001 * i, 0.0] for i in range(40)]
     rows = [(100 if i == 0 else i + 100, v) for i, v in enumerate(near)] + [(99, [0.6, 0.0, 0.8])]
-    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {(r["query"], r["rank"]): r["key"] for r in QUERIES["mmr"](spark, str(tmp_path)).collect()}
+    v = spark.createDataFrame(rows, "key long, vector array<double>").repartition(3)
+    got = {(r["query"], r["rank"]): r["key"] for r in search.marginal_relevance_of_all(v.filter("key % 20 = 0"), v, 5, 0.5).collect()}
     import numpy as np
 
     vectors, units = dict(rows), {k: np.array(v) / np.linalg.norm(v) for k, v in rows}
