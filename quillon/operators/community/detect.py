@@ -91,10 +91,12 @@ class Leiden:
     randomness: float = 0.01
     max_iterations: int = 32
     iterations: int = 2
+    #: Independent starts, of which the best counts.
+    starts: int = 3
 
     def __post_init__(self):
         require(self.randomness > 0, "randomness must be positive")
-        require(self.max_iterations >= 1 and self.iterations >= 1, "there must be an iteration")
+        require(self.max_iterations >= 1 and self.iterations >= 1 and self.starts >= 1, "there must be an iteration")
 
     @classmethod
     def modularity(cls, resolution: float = 1.0, seed: int = 0) -> Leiden:
@@ -112,7 +114,7 @@ class Leiden:
     def reichardt_bornholdt(cls, resolution: float = 1.0, seed: int = 0) -> Leiden:
         return cls(Modularity(resolution), seed)
 
-    def _search(self, g: Graph, initial: DataFrame | None, passes: int) -> DataFrame:
+    def _search(self, g: Graph, initial: DataFrame | None, passes: int, starts: int = 1) -> DataFrame:
         g.need_undirected("Leiden community detection")
         require(g.lightest is None or g.lightest >= 0, "community detection needs weights that aren't negative")
         objective, two_m, opts = self.objective.bound_to(g), g.total_endpoint_weight(), self
@@ -121,14 +123,14 @@ class Leiden:
 
         def f(nodes, src, dst, weight, start) -> list[tuple]:
             first = int(nodes[0])
-            member, trace = search.leiden(len(nodes), src, dst, weight, objective, two_m, _seed(opts.seed, first), opts.randomness, opts.max_iterations, passes, start)
+            member, trace = search.leiden(len(nodes), src, dst, weight, objective, two_m, _seed(opts.seed, first), opts.randomness, opts.max_iterations, passes, start, starts)
             return _labelled(nodes, member, 4) + [(first, None, *t) for t in trace]
 
         return _by_component(g, f, "node long, label long, level long, nodes long, communities long, refined long", initial)
 
     def partition(self, g: Graph) -> DataFrame:
         """node, community."""
-        return self._partition(g, self._search(g, None, self.iterations))
+        return self._partition(g, self._search(g, None, self.iterations, self.starts))
 
     def partition_with_trace(self, g: Graph, initial: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """One pass, from `initial` (node, community) if given; and, per component and level, how many nodes there were,

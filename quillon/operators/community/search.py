@@ -165,8 +165,22 @@ def split(adj: Adjacency, member: list[int]) -> list[int]:
     return number(out)
 
 
-def leiden(order: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, objective, two_m: float, seed: int, randomness: float, max_iterations: int, iterations: int, initial: list[int] | None = None) -> tuple[list[int], list[tuple[int, int, int, int]]]:
-    """Membership from undirected edges, each once; and the last pass's trace of (level, nodes, communities, refined)."""
+def worth(g: Level, member: list[int], objective, two_m: float) -> float:
+    """How much better than single nodes a membership is: the gains of its nodes, joined one after another."""
+    k, size, total = [0.0] * len(g), [0.0] * len(g), 0.0
+    for u, c in enumerate(member):
+        if size[c]:
+            total += objective.gain(sum(w for v, w in g.adj[u].items() if v < u and member[v] == c), g.strength[u], g.sizes[u], k[c], size[c], two_m)
+        k[c] += g.strength[u]
+        size[c] += g.sizes[u]
+    return total
+
+
+def leiden(
+    order: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, objective, two_m: float, seed: int, randomness: float, max_iterations: int, iterations: int, initial: list[int] | None = None, starts: int = 1
+) -> tuple[list[int], list[tuple[int, int, int, int]]]:
+    """Membership from undirected edges, each once, the best after any pass of any start; and the last pass's trace of (level,
+    nodes, communities, refined)."""
     adj: Adjacency = [{} for _ in range(order)]
     loops = [0.0] * order
     for u, v, w in zip(src.tolist(), dst.tolist(), weight.tolist(), strict=True):
@@ -175,30 +189,35 @@ def leiden(order: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, obj
         else:
             adj[u][v] = adj[u].get(v, 0.0) + w
             adj[v][u] = adj[v].get(u, 0.0) + w
-    rng = random.Random(seed)
     base = Level(adj, loops, [1.0] * order)
-    best: list[int] | None = None if initial is None else number(initial)
+    top: tuple[float, list[int]] | None = None
     trace: list[tuple[int, int, int, int]] = []
-    for _ in range(iterations):
-        member = list(range(order)) if best is None else best[:]
-        g, at, trace = base, list(range(order)), []
-        for level in range(max_iterations):
-            member = number(move(g, member, objective, two_m, rng))
-            k = max(member) + 1 if member else 0
-            if k == len(g):
-                break
-            part = number(refine(g, member, objective, two_m, rng, randomness))
-            parts = max(part) + 1
-            trace.append((level, len(g), k, parts))
-            if parts == len(g):
+    for start in range(starts):
+        rng = random.Random(seed + 1_000_003 * start)
+        held: list[int] | None = None if initial is None else number(initial)
+        for _ in range(iterations):
+            member = list(range(order)) if held is None else held[:]
+            g, at, trace = base, list(range(order)), []
+            for level in range(max_iterations):
+                member = number(move(g, member, objective, two_m, rng))
+                k = max(member) + 1 if member else 0
+                if k == len(g):
+                    break
+                part = number(refine(g, member, objective, two_m, rng, randomness))
+                parts = max(part) + 1
+                trace.append((level, len(g), k, parts))
+                if parts == len(g):  # refining merged nothing: whole communities become the next level's nodes
+                    part = member
+                g, member = collapse(g, part, member)
+                at = [part[x] for x in at]
+            new = split(adj, number([member[x] for x in at]))
+            value = worth(base, new, objective, two_m)
+            if top is None or value > top[0] + 1e-12:
+                top = value, new
+            if held is not None and new == held:
                 break
-            g, member = collapse(g, part, member)
-            at = [part[x] for x in at]
-        new = split(adj, number([member[x] for x in at]))
-        if best is not None and new == best:
-            break
-        best = new
-    return best or [], trace
+            held = new
+    return top[1] if top else [], trace
 
 
 def propagate(order: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, seed: int, max_iterations: int) -> list[int]:

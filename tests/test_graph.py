@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from quillon.errors import DidNotConverge, InvalidArgument
@@ -363,3 +364,22 @@ def test_named_graphs(spark):
     p = partition.singletons(spark, 4)
     assert {tuple(r) for r in g.membership(p).collect()} >= {("w", 0)} and g.communities(p).first()["names"] == ["w"]
     assert isinstance(NodeIndex.of(e, "src", "at"), NodeIndex)
+
+
+# (order, edges, least modularity of any seed, most of ten seeds): grids, rings, paths, cliques
+_GRID = [(4 * r + c, 4 * r + c + step) for r in range(4) for c in range(4) for step, ok in ((1, c < 3), (4, r < 3)) if ok]
+_CLIQUES = [(5 * k + i, 5 * k + j) for k in range(10) for i in range(5) for j in range(i)] + [(5 * k + 4, (5 * k + 5) % 50) for k in range(10)]
+
+
+@pytest.mark.parametrize("order,ends,least,most", [(16, _GRID, 0.4166, 0.41667), (10, [(i, i + 1) for i in range(9)], 0.4259, 0.43828), (50, _CLIQUES, 0.809, 0.8091)])
+def test_leiden_reaches_known_modularity(order, ends, least, most):
+    from quillon.operators.community import search
+    from quillon.operators.community.quality import Modularity
+
+    src, dst = np.array(ends).T
+    degree = np.bincount(np.concatenate((src, dst)), minlength=order)
+    found = []
+    for seed in range(10):
+        m = np.array(search.leiden(order, src, dst, np.ones(len(src)), Modularity(), 2.0 * len(src), seed, 0.01, 32, 2, None, 3)[0])
+        found.append(((m[src] == m[dst]).sum() / len(src)) - sum((degree[m == c].sum() / 2 / len(src)) ** 2 for c in set(m.tolist())))
+    assert min(found) >= least and max(found) == pytest.approx(most, abs=1e-4)
