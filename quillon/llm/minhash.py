@@ -286,7 +286,7 @@ def classified(docs: DataFrame, opts: Options = Options()) -> DataFrame:
     """_key, n_shingles and component (the smallest _key reachable) of every row of docs, which has _key and text."""
     shared_dir(docs.sparkSession)
     marks = written(signed(docs, opts), "signatures")
-    reps = marks.filter("digest is not null").groupBy("digest").agg(F.min("_key").alias("rep"))
+    reps = marks.filter("digest is not null").groupBy("digest").agg(F.min("_key").alias("rep"), F.count("*").alias("n"))
     bands = marks.select(F.col("_key").alias("rep"), "bands", F.col("n_shingles").alias("size")).join(reps.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
     shared, edges = _stars(bands.select("rep", "size", F.explode("bands").alias("bucket")), opts.percent)
     links = _confirmed(edges, docs, opts)
@@ -294,8 +294,12 @@ def classified(docs: DataFrame, opts: Options = Options()) -> DataFrame:
     more = _rest(shared, labels, docs, opts)
     if more is not None and more.take(1):
         labels = components(links.unionByName(more))
-    named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    full = marks.filter("digest is not null").select("_key", "n_shingles", "digest").join(named, "digest").select("_key", "n_shingles", "component")
+    named = written(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n", F.coalesce("label", "rep").alias("component")), "classes")
+    # sets that more than a thousandth of all rows have, at most 1,000 of them, are broadcast: no task gets all their rows
+    limit = max(1000, (named.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot, own = F.broadcast(named.filter(F.col("n") > limit).drop("n")), marks.filter("digest is not null").select("_key", "n_shingles", "digest")
+    cold = own.join(hot, "digest", "left_anti").join(named.filter(F.col("n") <= limit).drop("n"), "digest")
+    full = own.join(hot, "digest").unionByName(cold).select("_key", "n_shingles", "component")
     return full.unionByName(marks.filter("digest is null").select("_key", "n_shingles", F.col("_key").alias("component")))
 
 
