@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.errors import require
-from quillon.iterate import Steps
+from quillon.iterate import Steps, settled
 from quillon.operators.graph import kernels
 from quillon.operators.graph.frame import Graph
+from quillon.operators.graph.twins import twins
 
 
 def hops(g: Graph, source: int) -> DataFrame:
@@ -132,21 +133,31 @@ class Distance:
 
 
 def _sweep(g: Graph, what: str) -> DataFrame:
-    """node, ecc, total, reached, harmonic, low: one breadth-first search a node over the broadcast graph."""
+    """node, ecc, total, reached, harmonic, low: one breadth-first search a class of twins over the broadcast classes."""
+    found = twins(g, what)
 
-    def one(c: kernels.Csr, s: int) -> dict:
+    def one(c: kernels.Csr, sizes: np.ndarray, s: int) -> dict:
         d = kernels.bfs(c, s)
-        far = d[d > 0]
-        return {"node": [s], "ecc": [int(far.max()) if len(far) else 0], "total": [int(far.sum())], "reached": [len(far)], "harmonic": [math.fsum((1 / far).tolist())], "low": [int(np.flatnonzero(d >= 0)[0])]}
+        many, ret = sizes.copy(), kernels.back(c, d, s) if sizes[s] > 1 else -1
+        low = int(np.flatnonzero(d >= 0)[0])
+        d[s], many[s] = ret, sizes[s] - 1
+        there = d > 0
+        at = np.bincount(d[there], weights=many[there]).astype(np.int64)
+        hops = np.flatnonzero(at)
+        alone = ret < 0 and sizes[s] > 1
+        return {"ecc": int(hops.max()) if len(hops) else 0, "total": int((hops * at[hops]).sum()), "reached": int(at.sum()), "harmonic": math.fsum((at[hops] / hops).tolist()), "low": low, "alone": alone}
 
-    return g.by_source(one, "node long, ecc long, total long, reached long, harmonic double, low long", what)
+    stats = found.by_class(one, "ecc long, total long, reached long, harmonic double, low long, alone boolean")
+    # low is a class's number; of twins that don't reach each other every one is the lowest of its own
+    return found.of_nodes(stats).withColumn("low", F.struct("low", F.when(F.col("alone"), F.col("node")).otherwise(-1).alias("own"))).drop("label", "alone")
 
 
 def distance(g: Graph) -> Distance:
     g.need_undirected("distance")
-    found = _sweep(g, "distance")
-    r = found.agg(F.sum("total").alias("t"), F.sum("reached").alias("p"), F.countDistinct("low").alias("c"), F.max("ecc").alias("hi"), F.min("ecc").alias("lo")).first()
-    return Distance(found.select("node", F.col("ecc").alias("eccentricity")), r["t"] or 0, r["p"] or 0, r["c"], g.order(), r["hi"] or 0, r["lo"] or 0)
+    found = settled(_sweep(g, "distance"))
+    r = found.agg(F.sum("total").alias("t"), F.sum("reached").alias("p"), F.max("ecc").alias("hi"), F.min("ecc").alias("lo")).first()
+    parts = found.select("low").distinct().count()
+    return Distance(found.select("node", F.col("ecc").alias("eccentricity")), r["t"] or 0, r["p"] or 0, parts, g.order(), r["hi"] or 0, r["lo"] or 0)
 
 
 def closeness(g: Graph) -> DataFrame:
@@ -159,18 +170,18 @@ def harmonic(g: Graph) -> DataFrame:
     return _sweep(g, "harmonic").select("node", F.col("harmonic").alias("score"))
 
 
-def _dependencies(g: Graph, kernel, what: str) -> DataFrame:
+def _halved(g: Graph, sums: DataFrame) -> DataFrame:
     half = 1.0 if g.is_directed() else 0.5
-    sums = g.summed_by_source(kernel, what).select("node", (F.col("score") * half).alias("score"))
-    return g.nodes().join(sums, "node", "left").select("node", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return sums.select("node", F.coalesce(F.col("score") * half, F.lit(0.0)).alias("score"))
 
 
 def betweenness(g: Graph) -> DataFrame:
     """Brandes, not normalised, halved for undirected graphs."""
-    return _dependencies(g, kernels.brandes, "betweenness")
+    found = twins(g, "betweenness")
+    return _halved(g, found.of_nodes(found.summed(kernels.brandes)))
 
 
 def weighted_betweenness(g: Graph) -> DataFrame:
     """The same with weights as distances, which must be positive."""
     require(g.lightest is None or g.lightest > 0, "weighted betweenness needs positive weights")
-    return _dependencies(g, kernels.brandes_weighted, "betweenness")
+    return _halved(g, g.nodes().join(g.summed_by_source(kernels.brandes_weighted, "betweenness"), "node", "left"))

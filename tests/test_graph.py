@@ -5,10 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.errors import DidNotConverge, InvalidArgument
 from quillon.operators.community import agreement, detect, partition, quality
-from quillon.operators.graph import centrality, connectivity, paths, structure
+from quillon.operators.graph import centrality, connectivity, paths, structure, twins
 from quillon.operators.graph.frame import Graph
 from quillon.sources.interop import LabelledGraph, NodeIndex
 
@@ -181,6 +182,52 @@ def test_distance_centralities(local):
     assert by_node(d.eccentricity, "eccentricity") == [max(f, default=0) for f in far]
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_distance_centralities_of_twins(spark, directed, monkeypatch):
+    # 40 nodes with the same neighbours, 3 others twinned, a tail, a loop on a twin and two nodes without edges: the
+    # classes have few arcs, so a limit far below the graph's own is enough
+    arcs = [(u, v) for u in range(40) for v in (40, 41)] + [(v, u) for v in (40, 41) for u in (42, 43, 44)] + [(44, 45), (45, 46), (0, 0), (46, 40)]
+    arcs += [(46, 3)] if directed else []
+    order = 49
+    g = (Graph.of_directed if directed else Graph.undirected)(frame(spark, arcs), order, local=20)
+    out = {u: set() for u in range(order)}
+    for a, b in arcs:
+        out[a].add(b)
+        if not directed:
+            out[b].add(a)
+    dist, count = {}, {}
+    for s in range(order):
+        d, n, front = {s: 0}, {s: 1}, [s]
+        while front:
+            new = {}
+            for u in front:
+                for v in out[u]:
+                    if v not in d:
+                        new[v] = new.get(v, 0) + n[u]
+            d |= dict.fromkeys(new, d[front[0]] + 1)
+            n |= new
+            front = list(new)
+        dist[s], count[s] = d, n
+    between = [0.0] * order
+    for s in range(order):
+        for t in dist[s]:
+            for v in range(order):
+                if len({s, t, v}) == 3 and v in dist[s] and t in dist[v] and dist[s][v] + dist[v][t] == dist[s][t]:
+                    between[v] += count[s][v] * count[v][t] / count[s][t] * (1 if directed else 0.5)
+    far = [[x for t, x in dist[s].items() if t != s] for s in range(order)]
+    assert by_node(paths.betweenness(g), "score") == pytest.approx(between)
+    assert by_node(paths.harmonic(g), "score") == pytest.approx([sum(1 / x for x in f) for f in far])
+    assert by_node(paths.closeness(g), "score") == pytest.approx([len(f) / sum(f) * len(f) / (order - 1) if f else 0 for f in far])
+    if not directed:
+        d = paths.distance(g)
+        assert (d.total_distance, d.reachable_pairs, d.components) == (sum(map(sum, far)), sum(map(len, far)), 3)
+        assert by_node(d.eccentricity, "eccentricity") == [max(f, default=0) for f in far]
+    # equal marks alone make no class
+    monkeypatch.setattr(twins, "_marks", lambda arcs, own, other: arcs.select(arcs[own].alias("node"), F.lit(1).alias(f"_{other}_n")).distinct())
+    wide = (Graph.of_directed if directed else Graph.undirected)(frame(spark, arcs), order)
+    assert by_node(paths.harmonic(wide), "score") == pytest.approx([sum(1 / x for x in f) for f in far])
+
+
 def test_distance_of_a_path(spark):
     d = paths.distance(Graph.undirected(frame(spark, [(0, 1), (1, 2)]), 3))
     assert (d.diameter(), d.radius(), d.average_shortest_path_length()) == (2, 1, 8 / 6)
