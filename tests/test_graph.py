@@ -430,3 +430,21 @@ def test_leiden_reaches_known_modularity(order, ends, least, most):
         m = np.array(search.leiden(order, src, dst, np.ones(len(src)), Modularity(), 2.0 * len(src), seed, 0.01, 32, 2, None, 3)[0])
         found.append(((m[src] == m[dst]).sum() / len(src)) - sum((degree[m == c].sum() / 2 / len(src)) ** 2 for c in set(m.tolist())))
     assert min(found) >= least and max(found) == pytest.approx(most, abs=1e-4)
+
+
+def test_co_edges_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    from quillon.plans import queries
+
+    rng = random.Random(4)
+    rows = [(o, rng.randrange(12)) for o in range(150) for _ in range(4)] + [(1, None), (None, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(queries, "LINES_A_TASK", 20, raising=False)
+    got = queries.co_edges(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() == 31  # however few bytes the keys are
+    orders, want = {}, {}
+    for o, p in rows[:-2]:
+        orders.setdefault(o, set()).add(p)
+    for ps in orders.values():
+        for pair in itertools.combinations(sorted(ps), 2):
+            want[pair] = want.get(pair, 0) + 1
+    assert {(r["src"], r["dst"]): r["weight"] for r in got.collect()} == {k: n for k, n in want.items() if n >= 2}
