@@ -42,6 +42,28 @@ def test_nearest(vectors, monkeypatch):
         search.nearest(vectors, vectors, 0)
 
 
+def test_nearest_holds_a_tile(spark, monkeypatch):
+    # no more than a tile's likenesses at once, and exact ties go by key in every task and tile
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(500, 7))
+    v = spark.createDataFrame([(i, base[i % 500].tolist()) for i in range(3000)], "key long, vector array<double>").repartition(2)
+    seen, plain = [], type(v).mapInArrow
+    monkeypatch.setattr(type(v), "mapInArrow", lambda self, f, *a: seen.append(f) or plain(self, f, *a))
+    got = {(r["query"], r["rank"]): r["key"] for r in search.nearest(v, v, 5).collect()}
+    assert all([got[q, i + 1] for i in range(5)] == [q % 500 + 500 * i for i in range(5)] for q in range(3000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([base[i % 500].tolist() for i in range(3000)])], names=["key", "v"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in seen[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 15_000 and peak < 3000 * 3000 * 8  # less than all likenesses of the block
+
+
 def test_mmr(spark, vectors):
     pool = vectors.filter("key < 12").select(F.lit(0).alias("query"), "key", "vector")
     query = spark.createDataFrame([(0, VECTORS[20])], "query int, vector array<double>")
