@@ -94,6 +94,31 @@ def test_mmr_query_takes_all_vectors(spark):
     assert 99 in [got[100, i] for i in range(1, 6)]
 
 
+def test_mmr_of_copies_in_tiles(spark, monkeypatch):
+    # exact copies tie wherever they stand; tiles and blocks of any size pick the same
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(60, 5))
+    rows = [(i, base[i % 60].tolist()) for i in range(240)]
+    v = spark.createDataFrame(rows, "key long, vector array<double>").repartition(3)
+    for tile, numbers in (((256, 4096), 4_000_000), ((3, 16), 100)):
+        monkeypatch.setattr(search, "TILE", tile)
+        monkeypatch.setattr(search, "BLOCK_NUMBERS", numbers)
+        got = {(r["query"], r["rank"]): r["key"] for r in search.marginal_relevance_of_all(v.filter("key % 20 = 0"), v, 4, 0.7).collect()}
+        unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+        for q in range(0, 240, 20):
+            like, red, left, picks = unit @ unit[q % 60], np.zeros(60), set(range(240)), []
+            for n in range(4):
+                score = np.round(0.7 * like - 0.3 * red if n else like, 12)
+                picks.append(min(left, key=lambda i: (-score[i % 60], -round(like[i % 60], 12), i)))  # noqa: B023
+                left.remove(picks[-1])
+                red = np.maximum(red, unit @ unit[picks[-1] % 60])
+            assert [got[q, i + 1] for i in range(4)] == picks
+        if tile[0] == 3:
+            assert len(got) == 48
+
+
 def test_fusion(spark):
     rankings = {0: ["a", "b", "a", "c"], 1: ["c", "a"]}
     df = spark.createDataFrame([(r, i, k) for r, ks in rankings.items() for i, k in enumerate(ks)], "ranking int, position int, key string")
